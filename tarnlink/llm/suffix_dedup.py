@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -105,34 +106,47 @@ class RunIndex:
         text = np.frombuffer(b"\0".join(zones) + b"\0", np.uint8).astype(np.int64) + m
         text[ends - 1] = np.arange(m)  # each zone ends in a symbol of its own
         self.n, self.left = n, np.repeat(ends - 1, lengths + 1) - np.arange(n)
-        levels, depth = [(1, text)], 1
-        deepest = int(lengths.max(initial=0)) + 1
-        while depth < deepest:
+        levels, depth, deepest = [(1, text)], 1, int(lengths.max(initial=0)) + 1
+        while True:
             rank = levels[-1][1]
-            key = rank * (int(rank.max()) + 2)
-            key[: n - depth] += rank[depth:] + 1
-            order = np.argsort(key, kind="stable")
-            step = key[order]
+            base = int(rank.max()) + 2
+            times = max(2, int(62 / math.log2(base)))  # as many ranks as one key holds
+            key = rank.copy()
+            for i in range(1, times):
+                key *= base
+                key[: max(0, n - i * depth)] += rank[i * depth :] + 1
+            suffixes = np.argsort(key)
+            step = key[suffixes]
+            depth *= times
+            if depth >= deepest:  # the symbols that end zones make all suffixes different
+                break
             rank = np.empty(n, np.int64)
-            rank[order] = np.concatenate(([0], np.cumsum(step[1:] != step[:-1])))
-            depth *= 2
+            rank[suffixes] = np.concatenate(([0], np.cumsum(step[1:] != step[:-1])))
             levels.append((depth, rank))
-        suffixes = np.argsort(levels[-1][1], kind="stable")
         before = text[suffixes - 1]
         heads = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1])))
         self.symbols, self.run_lengths = before[heads], np.diff(np.concatenate((heads, [n])))
         place, neighbour = suffixes[heads], suffixes[heads - 1]
         common = np.zeros(len(heads), np.int64)
-        for depth, rank in reversed(levels):  # the irreducible common prefixes
-            a, b = np.minimum(place + common, n - 1), np.minimum(neighbour + common, n - 1)
-            common += depth * ((rank[a] == rank[b]) & (a != b) & (place + common < n) & (neighbour + common < n))
+        for (depth, rank), times in zip(reversed(levels), self._times(levels, deepest), strict=True):  # the irreducible common prefixes
+            for _ in range(times):
+                a, b = np.minimum(place + common, n - 1), np.minimum(neighbour + common, n - 1)
+                common += depth * ((rank[a] == rank[b]) & (a != b) & (place + common < n) & (neighbour + common < n))
         common[0] = 0
         order = np.argsort(place)
         self.place, self.neighbour, self.common = place[order], neighbour[order], common[order]
 
+    @staticmethod
+    def _times(levels: list, deepest: int) -> list[int]:
+        """How often each depth, greatest first, fits below the one above it."""
+        depths = [deepest, *(x[0] for x in reversed(levels))]
+        return [-(-a // b) for a, b in zip(depths, depths[1:], strict=False)]
+
     def matches(self) -> tuple[np.ndarray, np.ndarray]:
         """For each place of the text: its neighbour of lower suffix rank, and how far both match."""
-        k = np.searchsorted(self.place, np.arange(self.n), "right") - 1
+        k = np.zeros(self.n, np.int64)
+        k[self.place] = np.arange(len(self.place))
+        k = np.maximum.accumulate(k)
         gone = np.arange(self.n) - self.place[k]
         return self.neighbour[k] + gone, self.common[k] - gone
 
