@@ -33,6 +33,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there and lost executors cost nothing."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    # the shuffle files of what was written go once the driver has collected its garbage, so let it do so now
+    df.sparkSession._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -104,16 +106,16 @@ def fetch_texts(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> Data
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, comp) of every node of edges (u, v: long); comp is the smallest node of its component.
 
-    Alternating large-star and small-star steps; a hub's rows are salted, and each step ends in a shared table.
+    Alternating large-star and small-star steps; each ends in a shared table. The rows of a hub meet its one minimum in
+    a plain join, so that adaptive execution splits them.
     """
     def stars(pairs: DataFrame, large: bool) -> DataFrame:
         if large:
             near = pairs.union(pairs.select("v", "u")).toDF("u", "v")
         else:
             near = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        best = near.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        best = best.withColumn("m", F.least("u", "m"))
-        out = salted_lookup(near, best, ["u"], "n", ["v"])
+        best = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        out = near.join(best, "u")
         moved = out.where("v > u") if large else out
         moved = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not large:

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import merge
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fetch_texts, materialize, partitions, prefilter, salted_lookup
+from .common import bitmap, connected_components, fetch_texts, materialize, maybe_in, partitions, prefilter, salted_lookup
 
 #: Similarity 80 of 100, shingles of five words.
 PERCENT, WORDS = 80, 5
@@ -24,57 +23,89 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WEIGHT = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Characters hashed in one go, about.
+BATCH = 1 << 18
 _BASE, _STEP = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 2**64))
 
 
-@lru_cache(1)
-def _power_table(size: int) -> np.ndarray:
-    powers = np.full(size, _BASE)
-    powers[0] = 1
-    return np.multiply.accumulate(powers)
-
-
-def _powers(n: int) -> np.ndarray:
-    """The first n powers of the base; the usual lengths come from one table."""
-    return _power_table(1 << 18)[:n] if n <= 1 << 18 else _power_table.__wrapped__(n)
-
-
 def _scramble(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles; one for the whole sequence if it has fewer words."""
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    low = np.frombuffer(raw.translate(_FOLD), np.uint8)
-    if not len(low):
-        return np.empty(0, np.uint64)
-    inside = ~((low == 32) | ((low >= 9) & (low <= 13)))
-    turn = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
-    begin, end = turn[::2], turn[1::2]
-    if not len(begin):
-        return np.empty(0, np.uint64)
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+@lru_cache(2)
+def _table(base: np.uint64) -> np.ndarray:
+    return _powers(base, 2 * BATCH)
+
+
+def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its k-word shingles; one for all its words if it has fewer.
+
+    The bytes of all texts are hashed in one go: a word's hash is a difference of running sums, a shingle's a weighted
+    sum of its words' hashes.
+    """
+    raws = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
+    low = np.frombuffer(b"\n".join(raws).translate(_FOLD) + b"\n", np.uint8)
+    starts = np.cumsum([0, *(len(x) + 1 for x in raws)])
+    white = (low == 32) | ((low >= 9) & (low <= 13))
+    turn = np.flatnonzero(white[1:] != white[:-1]) + 1
+    if not white[0]:
+        turn = np.concatenate(([0], turn))
+    begin, end = turn[::2], turn[1::2]  # the last byte is white, so each word has an end
+    if len(low) <= 2 * BATCH:
+        power, back = _table(_BASE), _table(_BASE_INV)
+    else:
+        power, back = _powers(_BASE, len(low)), _powers(_BASE_INV, len(low))
     total = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum(_BYTE[low] * _powers(len(low)), out=total[1:])
-    back = np.full(len(begin), np.uint64(1))
-    gaps = np.diff(begin)
-    # the inverse power of each word's place, from those of the gaps between words
-    if len(gaps):
-        small = np.empty(int(gaps.max()) + 1, np.uint64)
-        small[:] = _BASE_INV
-        small[0] = 1
-        np.multiply.accumulate(small, out=small)
-        back[1:] = np.multiply.accumulate(small[gaps])
-    first = np.uint64(pow(int(_BASE_INV), int(begin[0]), 2**64))
-    word = _scramble((total[end] - total[begin]) * back * first + (end - begin).astype(np.uint64) * _STEP)
-    n = max(1, len(word) - k + 1)
-    out = np.full(n, np.uint64(min(k, len(word))))
-    for i in range(min(k, len(word))):
-        out = _scramble(out * _STEP + word[i : i + n])
-    return np.unique(out)
+    np.cumsum(_BYTE[low] * power[: len(low)], out=total[1:])
+    word = _scramble((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64) * _STEP)
+    first = np.searchsorted(begin, starts)  # the first word of each text
+    full = np.full(max(0, len(word) - k + 1), np.uint64(k))
+    for i in range(k):
+        full = full + word[i : i + len(full)] * _WEIGHT[i % len(_WEIGHT)]
+        if i % len(_WEIGHT) == len(_WEIGHT) - 1:
+            full = _scramble(full)
+    full = _scramble(full)
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= k:
+            own = np.sort(full[a : b - k + 1])
+            fresh = own[1:] != own[:-1]
+            out.append(own if fresh.all() else own[np.concatenate(([True], fresh))])
+        elif b > a:
+            short = np.full(1, b - a, np.uint64)
+            for i in range(a, b):
+                short = _scramble(word[i : i + 1] + short * _STEP)
+            out.append(short)
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
+
+
+def batched_sets(texts: list[str | None], k: int = WORDS) -> Iterator[np.ndarray]:
+    """shingle_sets() of about BATCH characters at a time."""
+    some, size = [], 0
+    for x in texts:
+        some.append(x)
+        size += len(x or "") + 1
+        if size >= BATCH:
+            yield from shingle_sets(some, k)
+            some, size = [], 0
+    if some:
+        yield from shingle_sets(some, k)
+
+
+def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
+    return shingle_sets([text], k)[0]
 
 
 def signature(own: np.ndarray) -> int:
@@ -99,16 +130,23 @@ def extra(n: int) -> int:
 
 
 class Searcher:
-    """Inverted lists over added sets; search() is DivideSkip: merge the short lists, probe the long ones."""
+    """Inverted lists over added sets; search() is DivideSkip: merge the short lists, probe the long ones.
 
-    def __init__(self, percent: int = PERCENT):
-        self.percent, self.lists, self.sizes = percent, {}, []
+    Lists ascend. The short ones are merged by counting their entries, which gives what a heap would; a candidate is
+    then looked up by binary search in each long list, all candidates at once.
+    """
+
+    def __init__(self, percent: int = PERCENT, weight: float = 4.0):
+        self.percent, self.weight, self.lists, self.sizes = percent, weight, {}, array("q")
 
     def add(self, members: list[int]) -> int:
         k = len(self.sizes)
         self.sizes.append(len(members))
         for x in members:
-            self.lists.setdefault(x, []).append(k)
+            if x in self.lists:
+                self.lists[x].append(k)
+            else:
+                self.lists[x] = array("i", (k,))
         return k
 
     def search(self, members: list[int]) -> list[int]:
@@ -116,40 +154,24 @@ class Searcher:
         n = len(members)
         t = least(n, self.percent)
         found = [x for x in map(self.lists.get, members) if x]
-        if len(found) < t:
+        if len(found) < t or not t:
             return []
-        found.sort(key=len, reverse=True)
-        longest = len(found[0])
-        n_long = min(t - 1, int(t / (0.01 * math.log2(longest + 1) + 1))) if longest > 1 else 0
-        long, short = found[:n_long], found[n_long:]
-        seen = Counter()
-        if longest > 64:
-            run = 0
-            last = -1
-            for x in merge(*short):
-                run = run + 1 if x == last else 1
-                last = x
-                seen[x] = run
-        else:
-            for x in short:
-                seen.update(x)
-        out = []
-        arrays = None
-        for x, count in seen.items():
-            m = self.sizes[x]
-            t_pair = need(n, m, self.percent)
-            if count + n_long < t_pair or t_pair > min(n, m):
-                continue
-            if n_long and count < t_pair:
-                arrays = arrays or [np.asarray(y) for y in long]
-                for i, y in enumerate(arrays):
-                    at = int(np.searchsorted(y, x))
-                    count += at < len(y) and y[at] == x
-                    if count >= t_pair or count + n_long - i - 1 < t_pair:
-                        break
-            if count >= t_pair:
-                out.append(x)
-        return sorted(out)
+        longest = max(map(len, found))
+        n_long = min(t - 1, int(t / (self.weight * math.log2(longest) + 1))) if longest > 1 else 0
+        if n_long:
+            found.sort(key=len)
+        short, long = found[: len(found) - n_long], found[len(found) - n_long :]
+        counts = np.bincount(np.frombuffer(b"".join(short), np.int32), minlength=len(self.sizes))
+        some = np.flatnonzero(counts >= t - n_long)
+        counts = counts[some]
+        sizes = np.array(self.sizes, np.int64)[some]
+        for i, x in enumerate(long):
+            own = np.frombuffer(x, np.int32)
+            counts = counts + (own[np.minimum(np.searchsorted(own, some), len(own) - 1)] == some)
+            if i % 8 == 7:
+                alive = counts + (n_long - i - 1) >= t
+                some, counts, sizes = some[alive], counts[alive], sizes[alive]
+        return some[100 * counts >= self.percent * (n + sizes - counts)].tolist()
 
 
 def _leaders(sets: list[tuple[int, list[int]]], percent: int) -> list[tuple[int, int]]:
@@ -177,8 +199,7 @@ def _across(sets: list[tuple[int, list[int], int, int]], percent: int, sides: bo
 def _prints(batches: Iterator[pa.RecordBatch], percent: int, k: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, sizes, sigs, prefixes, keys = [], [], [], [], []
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            own = shingles(text, k)
+        for doc, own in zip(b.column(0).to_pylist(), batched_sets(b.column(1).to_pylist(), k), strict=True):
             n = len(own)
             ids.append(doc)
             sizes.append(n)
@@ -199,7 +220,7 @@ def _sets(k: int, columns: list[str]):
             # a few rows at a time, as sets take more room than texts
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                found = [shingles(x, k).view(np.int64) for x in part.column(part.schema.get_field_index("text")).to_pylist()]
+                found = [x.view(np.int64) for x in batched_sets(part.column(part.schema.get_field_index("text")).to_pylist(), k)]
                 lengths = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 sets = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*found, np.empty(0, np.int64)]), pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in columns), sets], [*columns, "members"])
@@ -260,6 +281,16 @@ def _apart(rows: DataFrame) -> DataFrame:
     return salted_lookup(prefilter(rows, ["h"], several.select("h"), 24), several, ["h"], "df", ["sig"])
 
 
+def _covered(sets: DataFrame, percent: int) -> DataFrame:
+    """Drops sets of which certainly too few members occur in another set: a bitmap of the members that do counts at
+    least those, so no partner is lost, and only one row a set is shuffled for the count."""
+    rows = sets.select("sig", "n", F.explode("members").alias("h"))
+    twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
+    seen = maybe_in(rows, ["h"], bitmap(twice, ["h"], 24), 24).groupBy("sig", "n").agg(F.sum(F.col("_maybe").cast("long")).alias("c"))
+    enough = materialize(seen.where(F.expr(f"100 * c >= {percent} * n")).select("sig"), "jaccard-enough")
+    return materialize(prefilter(sets, ["sig"], enough).join(enough, "sig", "left_semi"), "jaccard-covered")
+
+
 def search_rest(docs: DataFrame, own: DataFrame, comps: DataFrame, percent: int, k: int) -> DataFrame:
     """Links between different components: none is lost.
 
@@ -268,8 +299,7 @@ def search_rest(docs: DataFrame, own: DataFrame, comps: DataFrame, percent: int,
     documents and common members, large ones cut into chunks of which every two meet.
     """
     posts = own.where("sig is not null").select("sig", "n", F.explode("prefix").alias("h"))
-    several = posts.groupBy("h").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo < hi").select("h", "df")
-    several = materialize(several, "jaccard-lists")
+    several = materialize(posts.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-lists")
     posts = salted_lookup(prefilter(posts, ["h"], several.select("h"), 24), several, ["h"], "df", ["sig"]).select("h", "sig", "n").distinct()
     names = comps.withColumnRenamed("node", "sig")
     label = F.coalesce("comp", "sig").alias("comp")
@@ -279,7 +309,7 @@ def search_rest(docs: DataFrame, own: DataFrame, comps: DataFrame, percent: int,
     reps = own.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     left = materialize(left.join(reps, "sig").select("doc_id", "sig", "n", "comp"), "jaccard-left")
     sets = fetch_texts(docs, left).mapInArrow(_sets(k, ["sig", "n", "comp"]), "sig long, n long, comp long, members array<long>")
-    sets = materialize(sets, "jaccard-sets")
+    sets = _covered(materialize(sets, "jaccard-sets"), percent)
     full = _apart(sets.select("sig", "n", "comp", F.explode("members").alias("h")))
     enough = full.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("c")).where(F.expr(f"100 * c >= {percent} * n")).select("sig")
     full = materialize(full.join(enough, "sig", "left_semi").select("h", "sig"), "jaccard-full")

@@ -16,7 +16,7 @@ from .common import HOT_ROWS, bitmap, fetch_texts, materialize, maybe_in, partit
 #: Matches of this many bytes count; anchors are grams of GRAM bytes.
 LENGTH, GRAM = 100, 32
 #: Bytes of zones that one index holds, about.
-INDEX = 1 << 20
+INDEX = 1 << 19
 _BYTE = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E6C63D0876A9A35)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 2**64))
