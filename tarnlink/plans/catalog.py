@@ -1,9 +1,588 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the test tables, and the same in SQL.
 
+Queries against an index take documents as the noisy records and benchmark passages as the index, over whole texts.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import addresses, names, similarity, tokens
+from ..operators import decide, features, fusion, metrics, mining, models, postings, relational, sampling, search, validate
+
+Query = Callable[[SparkSession, str], DataFrame]
+METHODS = ["bi", "tri", "words"]
+K = 5
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        _queries[name or f.__name__] = f
+        if sql:
+            _sql[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- candidate search ----
+
+_CUT = {
+    "words": "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')",
+    "bi": "flatten([[substr(w, i, 2) FOR i IN range(1, length(w))] FOR w IN regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') IF length(w) >= 2])",
+    "tri": "flatten([[substr(w, i, 3) FOR i IN range(1, length(w) - 1)] FOR w IN regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') IF length(w) >= 3])",
+    "skip": "flatten([[substr(w, i, 1) || substr(w, i + 2, 1) FOR i IN range(1, length(w) - 1)] FOR w IN regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') IF length(w) >= 3])",
+}
+
+
+def _search_sql(method: str, k: int = K, tag: str = "") -> str:
+    """CTEs ending in top{tag}(query_id, s1_id, score, rank)."""
+    cut = _CUT[method]
+    return f"""
+ic{tag} AS (SELECT s1_id, term, count(*) AS tf FROM (SELECT item_id AS s1_id, unnest({cut}) AS term FROM benchmark) GROUP BY ALL),
+qc{tag} AS (SELECT query_id, term, count(*) AS tf FROM (SELECT doc_id AS query_id, unnest({cut}) AS term FROM documents) GROUP BY ALL),
+df{tag} AS (SELECT term, count(*) AS df, (SELECT count(DISTINCT item_id) FROM benchmark) AS n FROM ic{tag} GROUP BY term),
+iw{tag} AS (SELECT s1_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM ic{tag} JOIN df{tag} USING (term)),
+qw{tag} AS (SELECT query_id, term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM qc{tag} JOIN df{tag} USING (term)),
+iu{tag} AS (SELECT s1_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY s1_id)) AS w FROM iw{tag}),
+qu{tag} AS (SELECT query_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS w FROM qw{tag}),
+sc{tag} AS (SELECT query_id, s1_id, round(sum(q.w * i.w), 6) AS score FROM qu{tag} q JOIN iu{tag} i USING (term) GROUP BY ALL),
+top{tag} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s1_id) AS rank FROM sc{tag} WHERE score > 0) WHERE rank <= {k})"""
+
+
+def method_hits(spark: SparkSession, sf_dir: str, method: str, k: int = K, scoring: str = "tfidf") -> DataFrame:
+    """(query_id, s1_id, score, rank): benchmark passages of each document."""
+    index = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("s1_id"), F.coalesce("text", F.lit("")).alias("text"))
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
+    cut = tokens.TOKENIZERS[method]
+    own, found = postings.fitted(index, asked, "s1_id", "query_id", cut("text"), cut("text"), scoring)
+    return search.top_k(search.posting_scores(found, own, "query_id", "s1_id"), k).select("query_id", "s1_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _searcher(method: str) -> Query:
+    return lambda spark, sf_dir: method_hits(spark, sf_dir, method)
+
+
+for _m, _name in (("words", "tfidf_words_topk"), ("bi", "tfidf_bigram_topk"), ("tri", "tfidf_trigram_topk"), ("skip", "tfidf_skip_topk")):
+    query(f"WITH {_search_sql(_m)} SELECT query_id, s1_id, score, rank FROM top", _name)(_searcher(_m))
+
+
+@query()
+def tfidf_phonetic_topk(spark, sf_dir):
+    return method_hits(spark, sf_dir, "phonetic")
+
+
+@query()
+def tfidf_phonkey_topk(spark, sf_dir):
+    return method_hits(spark, sf_dir, "phonkey")
+
+
+@query(f"WITH {_search_sql('bi')} SELECT query_id, s1_id, score, rank FROM top")
+def slab_bigram_topk(spark, sf_dir):
+    """The same as tfidf_bigram_topk, by dense tiles."""
+    index = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("s1_id"), F.coalesce("text", F.lit("")).alias("text"))
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own, found = postings.fitted(index, asked, "s1_id", "query_id", tokens.char_ngrams("text", 2), tokens.char_ngrams("text", 2))
+    tiles = max(1, asked.count() // 4096)
+    return search.slab_scores(found, own, "query_id", "s1_id", K, tiles).select("query_id", "s1_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {_search_sql('words')},
+b AS (SELECT i.s1_id, i.term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)) AS w
+      FROM ic i JOIN df USING (term) JOIN (SELECT s1_id, sum(tf) AS size FROM ic GROUP BY s1_id) USING (s1_id)
+      CROSS JOIN (SELECT avg(size) AS mean FROM (SELECT sum(tf) AS size FROM ic GROUP BY s1_id))),
+s AS (SELECT query_id, s1_id, round(sum(q.tf * b.w), 4) AS score FROM qc q JOIN b USING (term) GROUP BY ALL)
+SELECT * FROM (SELECT query_id, s1_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s1_id) AS rank FROM s WHERE score > 0) WHERE rank <= {K}""")
+def bm25_words_topk(spark, sf_dir):
+    index = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("s1_id"), F.coalesce("text", F.lit("")).alias("text"))
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
+    own, found = postings.fitted(index, asked, "s1_id", "query_id", tokens.word_chars("text"), tokens.word_chars("text"), "bm25")
+    return search.top_k(search.posting_scores(found, own, "query_id", "s1_id"), K, digits=4).select("query_id", "s1_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+_FIELDS = """
+f AS (SELECT p_partkey AS id, p_brand AS country, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_type END AS state, p_name AS name, p_type || ' ' || p_size AS address FROM part)"""
+
+
+@query(f"""WITH {_FIELDS}, t AS (SELECT id, country, state, 'n' AS fld, unnest(regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}]+')) AS term FROM f
+      UNION ALL SELECT id, country, state, 'a', unnest(regexp_extract_all(lower(address), '[\\p{{L}}\\p{{N}}]+')) FROM f),
+d AS (SELECT DISTINCT * FROM t),
+s AS (SELECT q.id AS query_id, i.id AS s1_id, sum(CASE WHEN q.fld = 'n' THEN 2 ELSE 1 END) AS score FROM d q JOIN d i
+      ON q.country = i.country AND q.fld = i.fld AND q.term = i.term AND (q.state IS NULL OR q.state = i.state) AND q.id <> i.id GROUP BY ALL)
+SELECT query_id, s1_id, CAST(score AS DOUBLE) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s1_id) AS rank FROM s) WHERE rank <= 3""")
+def block_state_fallback(spark, sf_dir):
+    """Brand as country, type as state; rows without a state search their country."""
+    rows = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("country"), F.when(F.col("p_size") % 7 != 0, F.col("p_type")).alias("state"),
+        F.col("p_name").alias("name"), F.concat_ws(" ", "p_type", F.col("p_size").cast("string")).alias("address"),
+    )
+
+    def scores(field: str) -> DataFrame:
+        d = rows.select("id", "country", "state", F.explode(F.array_distinct(tokens.word_chars(field))).alias("term")).withColumn("weight", F.lit(1.0))
+        left, right = d.withColumnRenamed("id", "query_id"), d.withColumnRenamed("id", "s1_id")
+        parts = [search.posting_scores(a, b, "query_id", "s1_id", keys) for a, b, keys in search.in_blocks(left, right, "country", "state")]
+        return parts[0].unionByName(parts[1]).where("query_id <> s1_id")
+
+    both = search.combine_fields(scores("name"), scores("address"), "query_id", "s1_id")
+    return search.top_k(both, 3).select("query_id", "s1_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for m in METHODS:
+        found = method_hits(spark, sf_dir, m).withColumn("method", F.lit(m))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+_HITS = (
+    ",".join(_search_sql(m, tag=f"_{m}") for m in METHODS)
+    + ", hits AS ("
+    + " UNION ALL ".join(f"SELECT query_id, s1_id, score, rank, '{m}' AS method, {i} AS place FROM top_{m}" for i, m in enumerate(METHODS))
+    + ")"
+)
+_FUSED = (
+    _HITS
+    + """, fz AS (SELECT query_id, s1_id, round(sum(1.0 / (60 + rank)), 12) AS rrf, min(place * 1000 + rank) AS seen, """
+    + ", ".join(f"max(score) FILTER (WHERE method = '{m}') AS {m}_score, min(rank) FILTER (WHERE method = '{m}') AS {m}_rank" for m in METHODS)
+    + """ FROM hits GROUP BY ALL), fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, seen, s1_id) AS fused_rank FROM fz)"""
+)
+
+
+def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fuse(all_hits(spark, sf_dir), METHODS)
+
+
+@query(f"WITH {_FUSED} SELECT query_id, s1_id, round(rrf, 9) AS rrf, fused_rank FROM fused")
+def rrf_fusion(spark, sf_dir):
+    return fused(spark, sf_dir).select("query_id", "s1_id", F.round("rrf", 9).alias("rrf"), F.col("fused_rank").cast("long").alias("fused_rank"))
+
+
+@query(f"WITH {_FUSED} SELECT query_id, s1_id, fused_rank, {', '.join(f'{m}_score, {m}_rank' for m in METHODS)} FROM fused")
+def fused_wide(spark, sf_dir):
+    return fused(spark, sf_dir).select("query_id", "s1_id", F.col("fused_rank").cast("long").alias("fused_rank"), *(c for m in METHODS for c in (f"{m}_score", f"{m}_rank")))
+
+
+@query(f"""WITH {_HITS} SELECT DISTINCT query_id, s1_id FROM (SELECT *, max(score) OVER (PARTITION BY query_id, method) AS best FROM hits)
+WHERE round(best - score, 6) <= 0.02""")
+def gap_prune(spark, sf_dir):
+    return search.gap_prune(all_hits(spark, sf_dir), 0.0200005)
+
+
+@query(f"""WITH {_FUSED} SELECT query_id, s1_id, {', '.join(f"round({m}_score - max({m}_score) OVER p, 6) AS {m}_gap" for m in METHODS)},
+round(rrf - max(rrf) OVER p, 7) AS rrf_gap, {' + '.join(f'CAST({m}_rank IS NOT NULL AS INTEGER)' for m in METHODS)} AS n_searches,
+count(*) OVER p AS n_candidates FROM fused WINDOW p AS (PARTITION BY query_id)""")
+def feature_retrieval(spark, sf_dir):
+    rows = features.retrieval_features(fused(spark, sf_dir), METHODS)
+    return rows.select("query_id", "s1_id", *(F.round(f"{m}_gap", 6).alias(f"{m}_gap") for m in METHODS), F.round("rrf_gap", 7).alias("rrf_gap"), "n_searches", "n_candidates")
+
+
+@query(f"""WITH {_search_sql('words', 3)} SELECT query_id AS doc_id, s1_id AS item_id, score FROM top WHERE score >= 0.5""")
+def decontaminate(spark, sf_dir):
+    """Documents close to a benchmark passage."""
+    return method_hits(spark, sf_dir, "words", 3).where("score >= 0.5").select(F.col("query_id").alias("doc_id"), F.col("s1_id").alias("item_id"), "score")
+
+
+_KNN = """
+v AS (SELECT vec_id, label, embedding FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS s1_id, a.label AS la, b.label AS lb,
+      round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, s1_id) AS rank FROM s) WHERE rank <= 10)"""
+
+
+@query(f"WITH {_KNN} SELECT query_id, s1_id, rank FROM top")
+def knn_cosine_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    return _knn(v)
+
+
+def _knn(v: DataFrame) -> DataFrame:
+    found = search.knn(v.withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "s1_id"), "query_id", "s1_id", "embedding", 10)
+    return found.select("query_id", "s1_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {_KNN} SELECT CAST(k AS INTEGER) AS k, round(avg(CAST(hit AS DOUBLE)), 9) AS recall FROM
+(SELECT query_id, k, bool_or(la = lb AND rank <= k) AS hit FROM top CROSS JOIN (VALUES (1), (5), (10)) AS t(k) GROUP BY ALL) GROUP BY k""")
+def knn_label_recall(spark, sf_dir):
+    """M23 with equal labels as truth."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    hits = _knn(table(spark, sf_dir, "embeddings")).join(v.toDF("query_id", "la"), "query_id").join(v.toDF("s1_id", "lb"), "s1_id")
+    first = hits.groupBy("query_id").agg(F.min(F.when(F.col("la") == F.col("lb"), F.col("rank"))).alias("r"))
+    rows = first.withColumn("k", F.explode(F.array(F.lit(1), F.lit(5), F.lit(10))))
+    return rows.groupBy("k").agg(F.round(F.avg(F.coalesce(F.col("r") <= F.col("k"), F.lit(False)).cast("double")), 9).alias("recall"))
+
+
+@query()
+def fuzzy_prefix_expand(spark, sf_dir):
+    """Part-name words expanded to document words."""
+    left = table(spark, sf_dir, "part").select(F.explode(tokens.word_chars("p_name")).alias("word")).distinct()
+    right = table(spark, sf_dir, "documents").select(F.explode(tokens.word_chars(F.coalesce("text", F.lit("")))).alias("term")).distinct()
+    return search.fuzzy_expansions(left.where("length(word) >= 4"), right.where("length(term) >= 4"), "word", "term", 50)
+
+
+# ---- pair features and text rules ----
+
+
+@query("""WITH n AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '[0-9]+'))) AS a,
+  nullif(regexp_extract(coalesce(text, ''), '[0-9]+'), '') AS f FROM documents),
+p AS (SELECT page_id, list_sort(list_distinct(regexp_extract_all(url, '[0-9]+'))) AS a, nullif(regexp_extract(url, '[0-9]+'), '') AS f FROM pages)
+SELECT doc_id, CAST(len(n.a) AS INTEGER) AS n_numbers, round(len(list_intersect(n.a, p.a)) / nullif(len(list_distinct(list_concat(n.a, p.a))), 0), 9) AS number_jaccard,
+  CAST(n.f = p.f AS INTEGER) AS first_number_equal FROM n JOIN p ON n.doc_id = p.page_id""")
+def feature_numbers(spark, sf_dir):
+    """A document's numbers against those of the address of its page."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url"), "doc_id")
+    return rows.select("doc_id", F.size(tokens.numbers("t")).alias("n_numbers"), F.round(features.number_jaccard("t", "url"), 9).alias("number_jaccard"), features.first_number_equal("t", "url").alias("first_number_equal"))
+
+
+_NAMES = "n AS (SELECT DISTINCT p_brand, p_name FROM part), p AS (SELECT a.p_brand AS brand, a.p_name AS a, b.p_name AS b FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_name < b.p_name)"
+
+
+def _name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different names of a brand: few, as names repeat."""
+    n = table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_name").alias("a")).distinct()
+    return n.join(n.withColumnRenamed("a", "b"), "brand").where("a < b")
+
+
+@query(f"WITH {_NAMES} SELECT brand, a, b, round(jaro_winkler_similarity(a, b), 6) AS similarity FROM p")
+def feature_jaro_winkler(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).withColumn("similarity", F.round(similarity.jaro_winkler_udf("a", "b"), 6))
+
+
+def _similarity(udf) -> Query:
+    return lambda spark, sf_dir: _name_pairs(spark, sf_dir).withColumn("similarity", F.round(udf("a", "b"), 6))
+
+
+for _name, _udf in (("feature_indel_ratio", similarity.ratio_udf), ("feature_token_set", similarity.token_set_udf), ("feature_token_sort", similarity.token_sort_udf), ("feature_partial", similarity.partial_udf), ("osa_distance", similarity.osa_udf)):
+    query(None, _name)(_similarity(_udf))
+
+
+@query(rf"""SELECT page_id, regexp_replace(split_part(url, '|', 1), '(?i)^(?:https?://)?(?:www\.)?([a-z0-9-]+)\.(?:{names.TLDS})(?:\.[a-z]{{2}})?(?:/\S*)?$', '\1') AS label FROM pages""")
+def website_strip(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", names.strip_website(F.col("url")).alias("label"))
+
+
+_RAW = [
+    (1, "Sri Anb Trading Private Limted", "KANSAS CITY, MO, 630 45ND TERRACE, null", "US", "anb trading pvt ltd", "630 45 ter, kansas, mo", "mo"),
+    (2, "T0tal Realty 5tudios L.L.C.", "#1038 Sector 9, Faridabad, Haryana", "India", "total realty studios llc", "1038 sector 9, faridabad, hr", "hr"),
+    (3, "Fractales Amis Groupe S.A.S", "63 R. DE DIEPPE, LILLE, Nord", "France", "fractales amis groupe sas", "63 rue de dieppe, lille, hdf", "hdf"),
+    (4, "Zetajax t/a Ps Wisdom Private Limited", "3315 FREMONT SAINT, PEORIA, IL", "US", "ps wisdom pvt ltd", "3315 fremont st, peoria, il", "il"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"(CAST({r[0]} AS BIGINT), '{r[4]}', '{r[5]}', '{r[6]}')" for r in _RAW) + ") AS t(id, name_std, address_std, state)")
+def standardize_records(spark, sf_dir):
+    """N01-N19, L01-L20 on documented examples."""
+    rows = spark.createDataFrame([r[:4] for r in _RAW], "id long, name string, address string, country string")
+    rows = names.standardize_names(rows, "name")
+    return addresses.standardize_addresses(rows, "address", "country").select("id", "name_std", "address_std", "state")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, regexp_extract_all(lower(coalesce(text, '')), '[^\\s,.()&/\\-]+') AS w FROM conversations),
+p AS (SELECT a.w AS a, b.w AS b FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE len(a.w) = len(b.w) AND len(a.w) > 0),
+z AS (SELECT unnest(a) AS left_word, unnest(b) AS right_word FROM p),
+v AS (SELECT left_word, right_word, count(*) AS votes FROM z GROUP BY ALL)
+SELECT left_word, right_word, votes FROM (SELECT *, row_number() OVER (PARTITION BY left_word ORDER BY votes DESC, right_word) AS r FROM v) WHERE r = 1""")
+def word_vote_map(spark, sf_dir):
+    """Neighbouring turns of equal length vote word by word."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower(F.coalesce("text", F.lit(""))).alias("x"))
+    pairs = t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"])
+    return names.vote_words(pairs, "x", "y", 1)
+
+
+@query("""WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS token, source FROM documents),
+c AS (SELECT token, source, count(*) AS n FROM w WHERE lang = 'fr' AND token NOT IN (SELECT token FROM w WHERE lang <> 'fr') GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY token) AS total, row_number() OVER (PARTITION BY token ORDER BY n DESC, source) AS k FROM c)
+SELECT token, CAST(total AS BIGINT) AS test_count, source AS main_country, round(n / total, 9) AS main_country_share FROM r WHERE k = 1 AND total >= 20""")
+def unseen_tokens(spark, sf_dir):
+    """Words of French documents that no other document has."""
+    w = table(spark, sf_dir, "documents").select("lang", "source", F.explode(tokens.word_chars(F.coalesce("text", F.lit("")))).alias("token"))
+    found = mining.unseen_tokens(w.where("lang = 'fr'"), w.where("lang <> 'fr'"), "token", "source")
+    return found.withColumn("main_country_share", F.round("main_country_share", 9))
+
+
+@query()
+def variant_mining(spark, sf_dir):
+    """Neighbouring turns aligned."""
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower(F.coalesce("text", F.lit(""))).alias("x"))
+    pairs = t.join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("x").alias("y")), ["conv_id", "turn"])
+    return mining.variants(pairs, "x", "y", 1)
+
+
+# ---- joins, sets, groups, windows ----
+
+
+@query("SELECT c.c_custkey, coalesce(string_agg(DISTINCT CAST(o.o_orderkey AS VARCHAR), ',' ORDER BY CAST(o.o_orderkey AS VARCHAR)), '') AS order_ids FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
+def group_concat_ids(spark, sf_dir):
+    return relational.join_ids(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), table(spark, sf_dir, "customer"), "c_custkey", "o_orderkey", "order_ids")
+
+
+@query("SELECT DISTINCT c_custkey, CAST(o_orderkey AS VARCHAR) AS order_id FROM customer JOIN orders ON o_custkey = c_custkey")
+def explode_ids(spark, sf_dir):
+    return relational.explode_ids(group_concat_ids(spark, sf_dir), "c_custkey", "order_ids", "order_id")
+
+
+@query("""SELECT l_returnflag, round(quantile_cont(l_quantity, 0.1), 6) AS q10, round(quantile_cont(l_quantity, 0.25), 6) AS q25, round(median(l_quantity), 6) AS q50,
+round(quantile_cont(l_quantity, 0.75), 6) AS q75, round(quantile_cont(l_quantity, 0.9), 6) AS q90 FROM lineitem GROUP BY l_returnflag""")
+def quantiles_median(spark, sf_dir):
+    q = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.percentile("l_quantity", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9)))).alias("q"))
+    return q.select("l_returnflag", *(F.round(F.col("q")[i], 6).alias(f"q{n}") for i, n in enumerate((10, 25, 50, 75, 90))))
+
+
+@query("SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM events GROUP BY event_type")
+def value_share(spark, sf_dir):
+    return relational.shares(table(spark, sf_dir, "events"), "event_type").withColumn("share", F.round("share", 9))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+def semi_join(spark, sf_dir):
+    big = table(spark, sf_dir, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf_dir, "customer").join(big, "c_custkey", "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti_join(spark, sf_dir):
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("SELECT c_custkey, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def left_fill(spark, sf_dir):
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"))
+    return relational.left_fill(table(spark, sf_dir, "customer").select("c_custkey"), counts, ["c_custkey"], 0)
+
+
+@query("SELECT o_orderkey, n_name FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
+def lookup_join(spark, sf_dir):
+    rows = relational.lookup(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), table(spark, sf_dir, "customer"), ["c_custkey"])
+    return rows.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "n_name")
+
+
+_F_KEYS = "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'", "SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O'"
+
+
+def _key_sets(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return [o.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k")) for s in "FO"]
+
+
+@query(f"{_F_KEYS[0]} UNION {_F_KEYS[1]}")
+def union_distinct(spark, sf_dir):
+    a, b = _key_sets(spark, sf_dir)
+    return a.unionByName(b).distinct()
+
+
+@query(f"{_F_KEYS[0]} EXCEPT {_F_KEYS[1]}")
+def except_keys(spark, sf_dir):
+    a, b = _key_sets(spark, sf_dir)
+    return a.distinct().join(b, "k", "left_anti")
+
+
+@query(f"{_F_KEYS[0]} INTERSECT {_F_KEYS[1]}")
+def intersect_keys(spark, sf_dir):
+    a, b = _key_sets(spark, sf_dir)
+    return a.distinct().join(b, "k", "left_semi")
+
+
+@query("""SELECT o_orderkey, o_custkey, row_number() OVER w AS place, round(sum(o_totalprice) OVER (w ROWS UNBOUNDED PRECEDING), 2) AS running,
+round(max(o_totalprice) OVER (PARTITION BY o_custkey) - o_totalprice, 2) AS gap FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)""")
+def window_ranks(spark, sf_dir):
+    """W01-W06, A03."""
+    per = Window.partitionBy("o_custkey")
+    by = per.orderBy(F.desc("o_totalprice"), "o_orderkey")
+    running = F.sum("o_totalprice").over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.row_number().over(by).cast("long").alias("place"), F.round(running, 2).alias("running"), F.round(F.max("o_totalprice").over(per) - F.col("o_totalprice"), 2).alias("gap"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
+def best_candidate(spark, sf_dir):
+    return relational.best_per_group(table(spark, sf_dir, "orders"), ["o_custkey"], F.desc("o_totalprice"), F.col("o_orderkey")).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def sort_limit_report(spark, sf_dir):
+    """The feature is the limit."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+
+
+@query("SELECT c_custkey, CAST(ntile(4) OVER (ORDER BY c_custkey) - 1 AS INTEGER) AS part FROM customer")
+def contiguous_parts(spark, sf_dir):
+    return relational.parts(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 4)
+
+
+# ---- samples, decisions, metrics ----
+
+
+@query("""SELECT doc_id, label, CAST('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < 0.1 AS is_eval FROM
+(SELECT doc_id, toxic AS label FROM labels)""")
+def entity_split(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return rows.withColumn("is_eval", sampling.unit(F.col("doc_id")) < 0.1)
+
+
+@query()
+def fold_share(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").withColumn("fold", sampling.fold(F.lit(None).cast("string"), F.col("doc_id")))
+    return relational.shares(rows, "fold")
+
+
+_LABELLED = (
+    _FUSED
+    + """, contained AS (SELECT doc_id AS query_id, item_id AS s1_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+truth AS (SELECT query_id, min(s1_id) AS s1_id FROM contained GROUP BY query_id),
+lab AS (SELECT f.*, CAST(t.s1_id IS NOT NULL AS INTEGER) AS label FROM fused f LEFT JOIN truth t ON t.query_id = f.query_id AND t.s1_id = f.s1_id)"""
+)
+
+
+def truth_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, s1_id): the first benchmark passage that a document holds whole. Pairs come by a word of the passage:
+    its longest, so that nothing is compared with everything."""
+    cut = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    items = table(spark, sf_dir, "benchmark").where("text <> ''").select(F.col("item_id").alias("s1_id"), F.col("text").alias("passage"))
+    inner = F.filter(cut(F.regexp_replace("passage", r"^\S+\s|\s\S+$", "")), lambda w: F.length(w) > 0)
+    key = F.array_sort(F.transform(F.when(F.size(inner) > 0, inner).otherwise(cut("passage")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))[0]["w"]
+    items = items.withColumn("word", key)
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("query_id"), "text")
+    near = docs.select("query_id", "text", F.explode(cut("text")).alias("word")).join(items, "word").where("contains(text, passage)")
+    return near.groupBy("query_id").agg(F.min("s1_id").alias("s1_id"))
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = truth_of(spark, sf_dir).withColumn("label", F.lit(1))
+    return relational.left_fill(fused(spark, sf_dir), mark, ["query_id", "s1_id"], 0)
+
+
+_DRAW = "md5('0:' || CAST(query_id AS VARCHAR) || ':' || CAST(s1_id AS VARCHAR))"
+
+
+@query(f"""WITH {_LABELLED}, h AS (SELECT *, min(fused_rank) FILTER (WHERE label = 0) OVER (PARTITION BY query_id) AS first FROM lab),
+k AS (SELECT *, label = 0 AND fused_rank <= first + 2 AS hard FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label = 0 AND NOT hard ORDER BY {_DRAW}, s1_id) AS n FROM k)
+SELECT query_id, s1_id, label FROM r WHERE label = 1 OR hard OR (label = 0 AND n <= 2)""")
+def negatives_hard_random(spark, sf_dir):
+    return sampling.negatives(labelled(spark, sf_dir), hard=3, random=2).select("query_id", "s1_id", "label")
+
+
+_BEST = _LABELLED + ", best AS (SELECT query_id, s1_id AS best_s1, words_score AS p FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(words_score, 0) DESC, fused_rank) AS r FROM fused) WHERE r = 1)"
+
+
+def word_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide.best_candidates(fused(spark, sf_dir).withColumn("p", F.coalesce("words_score", F.lit(0.0))))
+
+
+def full_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truth with a null query for passages that no document holds."""
+    found = truth_of(spark, sf_dir)
+    rest = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("s1_id")).join(found, "s1_id", "left_anti")
+    return found.unionByName(rest.select(F.lit(None).cast("long").alias("query_id"), "s1_id"))
+
+
+_F05 = """
+CASE WHEN t = 0 AND p = 0 THEN 1.0 WHEN t = 0 OR p = 0 THEN 0.0 ELSE 1.25 * tp / (0.25 * t + p) END"""
+_ENTITIES = """, e AS (SELECT b.item_id AS s1_id, count(t.query_id) AS t FROM benchmark b LEFT JOIN truth t ON t.s1_id = b.item_id GROUP BY 1)"""
+
+
+@query(f"""WITH {_BEST} {_ENTITIES}, th AS (SELECT unnest([{', '.join(map(str, decide.THRESHOLDS))}]) AS threshold),
+g AS (SELECT threshold, best_s1 AS s1_id, count(*) AS p, count(t.query_id) AS tp FROM best JOIN th ON coalesce(best.p, 0) >= threshold
+      LEFT JOIN truth t ON t.query_id = best.query_id AND t.s1_id = best_s1 GROUP BY ALL),
+x AS (SELECT th.threshold, e.s1_id, e.t, coalesce(g.p, 0) AS p, coalesce(g.tp, 0) AS tp FROM th CROSS JOIN e LEFT JOIN g ON g.threshold = th.threshold AND g.s1_id = e.s1_id)
+SELECT CAST(threshold AS DOUBLE) AS threshold, round(avg({_F05}), 9) AS f05, count(*) AS entities FROM x GROUP BY threshold""")
+def threshold_sweep(spark, sf_dir):
+    found = decide.sweep(word_best(spark, sf_dir), full_truth(spark, sf_dir))
+    return found.withColumn("f05", F.round("f05", 9))
+
+
+@query(f"""WITH {_BEST} {_ENTITIES}, g AS (SELECT best_s1 AS s1_id, count(*) AS p, count(t.query_id) AS tp FROM best LEFT JOIN truth t ON t.query_id = best.query_id AND t.s1_id = best_s1
+      WHERE coalesce(best.p, 0) >= 0.5 GROUP BY 1), x AS (SELECT e.t, coalesce(g.p, 0) AS p, coalesce(g.tp, 0) AS tp FROM e LEFT JOIN g USING (s1_id))
+SELECT round(avg({_F05}), 9) AS f05, count(*) AS entities FROM x""")
+def macro_f05(spark, sf_dir):
+    best = word_best(spark, sf_dir).where("p >= 0.5").select("query_id", "best_s1")
+    return metrics.macro_f05(best, full_truth(spark, sf_dir)).withColumn("f05", F.round("f05", 9))
+
+
+@query(f"""WITH {_BEST} SELECT count(*) FILTER (WHERE ok) AS accepted, count(*) FILTER (WHERE ok AND r) AS correct,
+round(count(*) FILTER (WHERE ok AND r) / nullif(count(*) FILTER (WHERE ok), 0), 9) AS precision, round(count(*) FILTER (WHERE ok AND r) / count(ts), 9) AS recall
+FROM (SELECT coalesce(b.p >= 0.5, false) AS ok, coalesce(b.best_s1 = t.s1_id, false) AS r, t.s1_id AS ts FROM best b FULL JOIN truth t USING (query_id))""")
+def pair_precision_recall(spark, sf_dir):
+    found = metrics.pair_metrics(word_best(spark, sf_dir), truth_of(spark, sf_dir), 0.5)
+    return found.withColumns({"precision": F.round("precision", 9), "recall": F.round("recall", 9)})
+
+
+@query(f"""WITH {_LABELLED}, j AS (SELECT t.query_id, min(f.fused_rank) AS r FROM truth t LEFT JOIN fused f ON f.query_id = t.query_id AND f.s1_id = t.s1_id GROUP BY 1)
+SELECT CAST(k AS INTEGER) AS k, count(*) FILTER (WHERE r IS NOT NULL AND (k = 0 OR r <= k)) AS found,
+round(count(*) FILTER (WHERE r IS NOT NULL AND (k = 0 OR r <= k)) / count(*), 9) AS recall FROM j CROSS JOIN (VALUES (0), (1), (2), (4), (8), (16)) AS v(k) GROUP BY k""")
+def recall_at_k(spark, sf_dir):
+    found = metrics.recall_at(fused(spark, sf_dir), truth_of(spark, sf_dir), (0, 1, 2, 4, 8, 16), rank="fused_rank")
+    return found.withColumn("recall", F.round("recall", 9))
+
+
+@query(f"""WITH {_BEST} SELECT CASE WHEN f.query_id IS NULL THEN 'not_retrieved' WHEN b.best_s1 = t.s1_id AND coalesce(b.p, 0) >= 0.5 THEN 'accepted' WHEN b.best_s1 = t.s1_id THEN 'rejected' ELSE 'wrong_top' END AS error_group,
+count(*) AS n, round(avg(coalesce(b.p, 0)), 6) AS mean_p FROM truth t LEFT JOIN best b USING (query_id) LEFT JOIN fused f ON f.query_id = t.query_id AND f.s1_id = t.s1_id GROUP BY 1""")
+def error_groups(spark, sf_dir):
+    found = metrics.error_groups(word_best(spark, sf_dir), fused(spark, sf_dir), truth_of(spark, sf_dir), 0.5)
+    return found.groupBy("error_group").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.coalesce("p", F.lit(0.0))), 6).alias("mean_p"))
+
+
+@query(f"""WITH {_BEST}, q AS (SELECT best_s1, query_id, coalesce(p, 0) AS q FROM best WHERE coalesce(p, 0) >= 0.02),
+w AS (SELECT *, row_number() OVER o AS k, sum(q) OVER (o ROWS UNBOUNDED PRECEDING) AS cum, sum(q) OVER (PARTITION BY best_s1) AS total FROM q WINDOW o AS (PARTITION BY best_s1 ORDER BY q DESC, query_id)),
+v AS (SELECT *, 1.25 * cum / (0.25 * (total + 0.5) + k) AS value FROM w),
+b AS (SELECT best_s1, first(k ORDER BY value DESC, k) AS take, max(value) AS value, list_reduce(list_prepend(1.0::DOUBLE, list(1 - q)), lambda a, x: a * x) AS none FROM v GROUP BY best_s1)
+SELECT v.best_s1, v.query_id FROM v JOIN b USING (best_s1) WHERE b.value > b.none AND v.k <= b.take""")
+def expected_f05_decision(spark, sf_dir):
+    return decide.expected_f05(word_best(spark, sf_dir)).select("best_s1", "query_id")
+
+
+@query(f"""WITH {_LABELLED}, s AS (SELECT coalesce(words_score, 0) AS p, label FROM lab), d AS (SELECT p, sum(label) AS tp, count(*) AS n FROM s GROUP BY p),
+c AS (SELECT tp, sum(tp) OVER o AS ctp, sum(n) OVER o AS cn FROM d WINDOW o AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING))
+SELECT round(sum(tp * ctp / cn) / sum(tp), 6) AS average_precision FROM c""")
+def average_precision(spark, sf_dir):
+    rows = labelled(spark, sf_dir).withColumn("p", F.coalesce("words_score", F.lit(0.0)))
+    return models.average_precision(rows).select(F.round("average_precision", 6).alias("average_precision"))
+
+
+@query()
+def gbt_linkage(spark, sf_dir):
+    """Trees over retrieval features, folds by crc32; the sweep of the fold that was not fitted."""
+    pairs = features.retrieval_features(labelled(spark, sf_dir), METHODS)
+    pairs = pairs.withColumn("fold", sampling.fold(F.lit(None).cast("string"), F.col("query_id"))).persist()
+    cols = ["rrf", "fused_rank", "rrf_gap", "n_searches", "n_candidates", *(f"{m}_{x}" for m in METHODS for x in ("score", "rank", "gap"))]
+    model = models.MatchClassifier(cols, rounds=5, depth=3).fit(pairs.where("fold = 'A'"))
+    best = decide.best_candidates(model.predict(pairs.where("fold = 'B'")))
+    truth = full_truth(spark, sf_dir).withColumn("fold", sampling.fold(F.lit(None).cast("string"), F.col("query_id"))).where("query_id is null or fold = 'B'")
+    return decide.sweep(best, truth.select("query_id", "s1_id"))
+
+
+@query()
+def pair_scorer(spark, sf_dir):
+    """The built-in pair model on passages and documents, scored out of fold."""
+    rows = sampling.training_pairs(labelled(spark, sf_dir)).select("query_id", "s1_id", "label", "fused_rank")
+    rows = rows.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("left")), "query_id")
+    rows = rows.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("s1_id"), F.col("text").alias("right")), "s1_id")
+    rows = rows.withColumn("fold", sampling.fold(F.lit(None).cast("string"), F.col("query_id"))).persist()
+    scorer = models.CrossScorer(1 << 10)
+    for fold in "AB":
+        scorer.fit(rows.where(F.col("fold") == fold), fold)
+    return features.score_features(rows.select("query_id", "s1_id", "fused_rank"), scorer.score(rows, "fold"), features.score_prefix("both"))
+
+
+@query("""WITH o AS (SELECT c.c_custkey, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ','), '') AS ids FROM customer c LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+SELECT 'bad_prefix' AS kind, 'ERROR' AS level, count(*) AS n FROM o WHERE ids <> ''""")
+def validate_output(spark, sf_dir):
+    """Order ids have none of the wanted prefixes, so each non-empty list is an issue."""
+    out = group_concat_ids(spark, sf_dir)
+    return validate.output_issues(out, out.select("c_custkey"), "order_ids", "c_custkey").select("kind", "level", "n")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
