@@ -106,7 +106,7 @@ def fetch_texts(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> Data
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """(node, comp) of every node of edges (u, v: long); comp is the smallest node of its component.
 
-    Alternating large-star and small-star steps; each ends in a shared table. The rows of a hub meet its one minimum in
+    Alternating large-star and small-star steps; each round ends in a shared table. The rows of a hub meet its one minimum in
     a plain join, so that adaptive execution splits them.
     """
     def stars(pairs: DataFrame, large: bool) -> DataFrame:
@@ -125,8 +125,7 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     now = materialize(edges.select("u", "v").where("u <> v").distinct(), label)
     seen = None
     while True:
-        now = materialize(stars(now, True), label)
-        now = materialize(stars(now, False), label)
+        now = materialize(stars(stars(now, True), False), label)
         mark = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         if tuple(mark) == seen:
             break

@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bitmap, connected_components, fetch_texts, materialize, maybe_in, partitions, prefilter, salted_lookup
@@ -17,7 +17,7 @@ from .common import bitmap, connected_components, fetch_texts, materialize, mayb
 #: Similarity 80 of 100, shingles of five words.
 PERCENT, WORDS = 80, 5
 #: The members of all sets that are searched in one block, about; larger groups are cut into chunks.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Multipliers of the independent minimum hashes that gather near copies first.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -296,7 +296,8 @@ def search_rest(docs: DataFrame, own: DataFrame, comps: DataFrame, percent: int,
 
     A linked pair shares at least extra() members of its prefixes and least() of its sets, so documents with fewer
     members that another component has are out. Those left are searched in blocks: components of the graph of
-    documents and common members, large ones cut into chunks of which every two meet.
+    documents and their rarest common members, so that a common passage joins none; large ones are cut into chunks of
+    which every two meet.
     """
     posts = own.where("sig is not null").select("sig", "n", F.explode("prefix").alias("h"))
     several = materialize(posts.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-lists")
@@ -310,11 +311,16 @@ def search_rest(docs: DataFrame, own: DataFrame, comps: DataFrame, percent: int,
     left = materialize(left.join(reps, "sig").select("doc_id", "sig", "n", "comp"), "jaccard-left")
     sets = fetch_texts(docs, left).mapInArrow(_sets(k, ["sig", "n", "comp"]), "sig long, n long, comp long, members array<long>")
     sets = _covered(materialize(sets, "jaccard-sets"), percent)
-    full = _apart(sets.select("sig", "n", "comp", F.explode("members").alias("h")))
-    enough = full.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("c")).where(F.expr(f"100 * c >= {percent} * n")).select("sig")
-    full = materialize(full.join(enough, "sig", "left_semi").select("h", "sig"), "jaccard-full")
-    hubs = full.groupBy("h").agg(F.min("sig").alias("hub"), F.count(F.lit(1)).alias("df"))
-    groups = connected_components(salted_lookup(full, hubs, ["h"], "df", ["sig"]).select(F.col("sig").alias("u"), F.col("hub").alias("v")), "jaccard-blocks")
+    full = _apart(sets.select("sig", "n", "comp", F.explode("members").alias("h"))).select("h", "sig", "n", "df")
+    full = materialize(full, "jaccard-full")
+    enough = full.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("c")).where(F.expr(f"100 * c >= {percent} * n")).drop("n")
+    # rarest members first: a pair shares one of those that are left once least() - 1 have been taken off the end
+    by = Window.partitionBy("sig").orderBy("df", "h")
+    rare = full.join(enough, "sig").withColumn("at", F.row_number().over(by))
+    rare = rare.where(F.expr(f"at <= c - cast(ceil({percent} * n / 100) as long) + 1")).select("h", "sig")
+    rare = materialize(rare, "jaccard-rare")
+    hubs = rare.groupBy("h").agg(F.min("sig").alias("hub"), F.count(F.lit(1)).alias("df"))
+    groups = connected_components(salted_lookup(rare, hubs, ["h"], "df", ["sig"]).select(F.col("sig").alias("u"), F.col("hub").alias("v")), "jaccard-blocks")
     groups = groups.toDF("sig", "grp").join(sets.select("sig", "n"), "sig")
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
     placed = salted_lookup(groups, sizes, ["grp"], "size", ["sig"])
