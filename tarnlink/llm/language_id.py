@@ -17,6 +17,8 @@ from .common import materialize, salted_lookup
 SAMPLE, GRAMS = 4000, 1 << 13
 #: A text counts as at most this many independent trigrams.
 TRUST = 120
+#: Nats a trigram by which text of no language has to beat the best language.
+MARGIN = 1.5
 #: How often a declared language and an address hint are right, and rows' worth of the smoothing at each level.
 DECLARED, HINTED, SMOOTH = 0.95, 0.8, 20.0
 #: Country suffixes that name a language.
@@ -39,7 +41,8 @@ def grams(text: str | None) -> np.ndarray:
 
 @dataclass
 class TextModel:
-    """Log probability of each trigram under each language; the last row is text of no language (uniform)."""
+    """Log probability of each trigram under each language; the last row is text of no language: uniform, less MARGIN,
+    so that names, numbers and codes within a text of few words do not outweigh them."""
 
     languages: list[str]
     table: np.ndarray
@@ -77,7 +80,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> TextModel:
     for r in found:
         table[languages.index(r.lang), r.gram] += r.n
     table[-1] = 1
-    return TextModel(languages, np.log(table / table.sum(1, keepdims=True)))
+    table = np.log(table / table.sum(1, keepdims=True))
+    table[-1] -= MARGIN
+    return TextModel(languages, table)
 
 
 def page_text(html: str | None) -> str:

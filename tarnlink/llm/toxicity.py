@@ -28,12 +28,13 @@ _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPLIT = _UPPER.translate(bytes.maketrans(b".,;:?()[]{}\"|/\\<>", b" " * 17))
 _PLAIN = bytes.maketrans(b"013457@$!", b"oieastasi")
 _DROP = b"*-_+=~^`#%&'."
+_EDGE = b"!#$%&*@^~_-`=+"
 _ODD = re.compile(rb"[a-z][0-9@$!*_.\-]+[a-z]|\b(?:[a-z][ .*_\-]){3,}[a-z]\b")
 NAMES = ("words", "lexicon", "stems", "log_odds", "hidden", "near_second", "second", "capitals", "shouted", "punctuation", "exclaimed", "digits", "odd", "longest_run")
 
 
 def words_of(data: bytes) -> list[bytes]:
-    return data.translate(_SPLIT).split()
+    return [w if w.isalpha() else w.strip(_EDGE) or w for w in data.translate(_SPLIT).split()]
 
 
 def plain(word: bytes) -> bytes:
