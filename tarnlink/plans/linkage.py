@@ -70,6 +70,7 @@ def candidates(queries: DataFrame, s1: DataFrame, config: Config) -> DataFrame:
 
 def described(pairs: DataFrame, queries: DataFrame, s1: DataFrame) -> DataFrame:
     """Candidates with the text features."""
+    pairs = pairs.persist()  # searched once, read by both lookups and their checks
     side = lambda d, p, key: d.select(F.col("entity_id").alias(key), *(F.col(c).alias(f"{p}_{c}") for c in ("name", "core", "address")))
     rows = relational.lookup(relational.lookup(pairs, side(queries, "q", "query_id"), ["query_id"]), side(s1, "s", "s1_id"), ["s1_id"])
     made = features.pair_features(rows)
