@@ -14,6 +14,7 @@ from ..operators import features, fusion, postings, relational, search
 from ..operators.decide import best_candidates, best_threshold, sweep
 from ..operators.models import MatchClassifier
 from ..operators.validate import require_unique
+from ..session import settled
 
 
 @dataclass
@@ -34,7 +35,8 @@ def standardize(records: DataFrame, config: Config) -> DataFrame:
     """T1 with name, core, address, state and the state group as block key."""
     rows = standardize_names(records, "business_name", "name", "core", config.word_map)
     rows = standardize_addresses(rows, "business_address", "country", "address", "state")
-    return rows.withColumn("state_key", state_group(F.col("state"), F.col("country"))).select("entity_id", "country", "state_key", "name", "core", "address")
+    rows = rows.withColumn("state_key", state_group(F.col("state"), F.col("country")))
+    return settled(rows.select("entity_id", "country", "state_key", "name", "core", "address"))
 
 
 def hits(queries: DataFrame, s1: DataFrame, config: Config) -> DataFrame:
@@ -61,20 +63,19 @@ def hits(queries: DataFrame, s1: DataFrame, config: Config) -> DataFrame:
 
 def candidates(queries: DataFrame, s1: DataFrame, config: Config) -> DataFrame:
     """Fused candidates, pruned."""
-    found = hits(queries, s1, config)
+    found = settled(hits(queries, s1, config))
     fused = search.rank_prune(fusion.fuse(found, config.methods, config.rrf_k, parts=True), config.top)
     if config.gap is not None:
         fused = fused.join(search.gap_prune(found, config.gap), ["query_id", "s1_id"], "left_semi")
-    return features.retrieval_features(fused, config.methods)
+    return settled(features.retrieval_features(fused, config.methods))
 
 
 def described(pairs: DataFrame, queries: DataFrame, s1: DataFrame) -> DataFrame:
     """Candidates with the text features."""
-    pairs = pairs.persist()  # searched once, read by both lookups and their checks
     side = lambda d, p, key: d.select(F.col("entity_id").alias(key), *(F.col(c).alias(f"{p}_{c}") for c in ("name", "core", "address")))
     rows = relational.lookup(relational.lookup(pairs, side(queries, "q", "query_id"), ["query_id"]), side(s1, "s", "s1_id"), ["s1_id"])
     made = features.pair_features(rows)
-    return made.drop(*(f"{p}_{c}" for p in "qs" for c in ("name", "core", "address")))
+    return settled(made.drop(*(f"{p}_{c}" for p in "qs" for c in ("name", "core", "address"))))
 
 
 def feature_names(pairs: DataFrame) -> list[str]:

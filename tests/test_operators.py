@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tarnlink.operators import decide, features, fusion, metrics, mining, models, relational, sampling, search, validate
 from tarnlink.plans import catalog, linkage
+from tarnlink.session import settled
 from tarnlink.sources import tsv
 from tarnlink.streaming import online
 
@@ -172,7 +173,7 @@ def test_linkage_end_to_end(spark):
     assert pairs.where("query_id = 'S3-900'").isEmpty()
     truth = spark.createDataFrame([(r[0], r[4]) for r in other if r[4]] + [(None, r[0]) for r in s1 if r[0].startswith("S1-7")], "query_id string, s1_id string")
     model, threshold = linkage.fit(pairs, truth, rounds=4, depth=3)
-    scored = model.predict(pairs).persist()
+    scored = settled(model.predict(pairs))
     best = decide.best_candidates(scored).where(F.col("p") >= threshold)
     assert metrics.macro_f05(best.select("query_id", "best_s1"), truth).first().f05 > 0.95
     matched, wide = linkage.outputs(scored, spark.createDataFrame(s1, base), threshold)
