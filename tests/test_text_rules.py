@@ -73,7 +73,8 @@ def test_similarity_properties(a, b):
     assert similarity.lcs_length(a, b) == plain_lcs(a, b)
     assert similarity.ratio(a, b) == similarity.ratio(b, a) and 0 <= similarity.ratio(a, b) <= 100
     assert similarity.osa(a, b) == similarity.osa(b, a) <= max(len(a), len(b))
-    assert 0 <= similarity.jaro_winkler(a, b) <= 1 and similarity.partial_ratio(a, b) >= similarity.ratio(a, b) - 1e-9
+    assert 0 <= similarity.jaro_winkler(a, b) <= 1 and similarity.partial_ratio(a, b) == similarity.partial_ratio(b, a)
+    assert similarity.partial_ratio(a, a + b) == 100 if a else True
 
 
 def test_similarity_examples():
