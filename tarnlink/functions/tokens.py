@@ -16,7 +16,7 @@ def _col(c: Column | str) -> Column:
 
 
 def words(text: Column | str) -> Column:
-    """Commas are blanks, blanks separate."""
+    """Commas are blanks, blanks separate; standardized text is in lower case already."""
     return F.filter(F.split(F.regexp_replace(_col(text), ",", " "), r"\s+"), lambda w: w != "")
 
 
@@ -39,8 +39,8 @@ def skip_bigrams(text: Column | str) -> Column:
 
 
 def word_shingles(text: Column | str) -> Column:
-    """Pairs of neighbouring words."""
-    w = word_chars(text)
+    """Pairs of neighbouring words, in lower case."""
+    w = words(F.lower(_col(text)))
     return F.filter(F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.concat_ws(" ", a, b)), lambda x: x.contains(" "))
 
 
@@ -51,8 +51,7 @@ def _codes(cut: int | None):
 
         def of(word: str) -> list[str]:
             if word not in known:
-                found = [c[:cut] for c in double_metaphone(word) if c]
-                known[word] = list(dict.fromkeys(found)) or [word]
+                known[word] = list(dict.fromkeys(c[:cut] for c in double_metaphone(word) if c))
             return known[word]
 
         return texts.map(lambda ws: [] if ws is None else [c for w in ws for c in of(w)])
@@ -61,8 +60,8 @@ def _codes(cut: int | None):
 
 
 def phonetic(text: Column | str, cut: int | None = 4) -> Column:
-    """K04 (cut to 4 characters), K05 (cut=None): distinct Double Metaphone codes of each word."""
-    return _codes(cut)(word_chars(text))
+    """K04 (cut to 4 characters), K05 (cut=None): distinct Double Metaphone codes of each word; numbers have none."""
+    return _codes(cut)(words(text))
 
 
 #: Replacements of the phonetic key, in order.
@@ -102,7 +101,7 @@ def fuzzy_words(text: Column | str, limit: int, least: int = 1, alpha: bool = Fa
 
 
 TOKENIZERS = {
-    "words": word_chars,
+    "words": words,
     "bi": lambda c: char_ngrams(c, 2),
     "tri": lambda c: char_ngrams(c, 3),
     "skip": skip_bigrams,

@@ -37,7 +37,7 @@ def query(sql: str | None = None, name: str | None = None):
 # ---- candidate search ----
 
 _CUT = {
-    "words": "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')",
+    "words": "[x FOR x IN string_split_regex(replace(lower(coalesce(text, '')), ',', ' '), '[\\x20\\x09-\\x0D]+') IF x <> '']",
     "bi": "flatten([[substr(w, i, 2) FOR i IN range(1, length(w))] FOR w IN regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') IF length(w) >= 2])",
     "tri": "flatten([[substr(w, i, 3) FOR i IN range(1, length(w) - 1)] FOR w IN regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') IF length(w) >= 3])",
     "skip": "flatten([[substr(w, i, 1) || substr(w, i + 2, 1) FOR i IN range(1, length(w) - 1)] FOR w IN regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') IF length(w) >= 3])",
@@ -63,8 +63,8 @@ def method_hits(spark: SparkSession, sf_dir: str, method: str, k: int = K, scori
     """(query_id, s1_id, score, rank): benchmark passages of each document."""
     index = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("s1_id"), F.coalesce("text", F.lit("")).alias("text"))
     asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cut = tokens.TOKENIZERS[method]
-    own, found = postings.fitted(index, asked, "s1_id", "query_id", cut("text"), cut("text"), scoring)
+    cut, low = tokens.TOKENIZERS[method], F.lower("text")
+    own, found = postings.fitted(index, asked, "s1_id", "query_id", cut(low), cut(low), scoring)
     return search.top_k(search.posting_scores(found, own, "query_id", "s1_id"), k).select("query_id", "s1_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -105,7 +105,8 @@ SELECT * FROM (SELECT query_id, s1_id, score, row_number() OVER (PARTITION BY qu
 def bm25_words_topk(spark, sf_dir):
     index = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("s1_id"), F.coalesce("text", F.lit("")).alias("text"))
     asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own, found = postings.fitted(index, asked, "s1_id", "query_id", tokens.word_chars("text"), tokens.word_chars("text"), "bm25")
+    low = F.lower("text")
+    own, found = postings.fitted(index, asked, "s1_id", "query_id", tokens.words(low), tokens.words(low), "bm25")
     return search.top_k(search.posting_scores(found, own, "query_id", "s1_id"), K, digits=4).select("query_id", "s1_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -581,8 +582,11 @@ def validate_output(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import inventory  # noqa: F401  adds its queries
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)

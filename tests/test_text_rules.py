@@ -45,8 +45,10 @@ def test_tokenizers(spark):
     row = spark.createDataFrame([("abcd, x Nö 12a",)], "t string")
     got = row.select(*(f("t").alias(k) for k, f in tokens.TOKENIZERS.items()), tokens.words("t").alias("w"), tokens.numbers("t").alias("d"), tokens.plain_words("t").alias("p"), tokens.fuzzy_words("t", 2, 2, True).alias("f")).first()
     assert got.bi == ["ab", "bc", "cd", "nö", "12", "2a"] and got.tri == ["abc", "bcd", "12a"] and got.skip == ["ac", "bd", "1a"]
-    assert got.words == ["abcd", "x", "nö", "12a"] and got.w == ["abcd", "x", "Nö", "12a"] and got.d == ["12"] and got.p == ["abcd", "x", "Nö"] and got.f == ["abcd", "Nö"]
+    assert got.words == ["abcd", "x", "Nö", "12a"] and got.w == ["abcd", "x", "Nö", "12a"] and got.d == ["12"] and got.p == ["abcd", "x", "Nö"] and got.f == ["abcd", "Nö"]
     assert got.shingle == ["abcd x", "x nö", "nö 12a"]
+    codes = spark.createDataFrame([("smith, 12 12-14 knight",)], "t string").select(tokens.phonetic("t")).first()[0]
+    assert codes == ["SM0", "XMT", "NT"]  # numbers have no code
     keys = spark.createDataFrame([("chandra phone queen shree aaho 12th",)], "t string").select(tokens.phonetic_keys("t")).first()[0]
     assert keys == ["cndr", "fn", "kn", "sr", "a", "12th"]
 
