@@ -35,9 +35,10 @@ def pair_metrics(best: DataFrame, truth: DataFrame, threshold: float, query: str
     )
 
 
-def baseline(fused: DataFrame, query: str = "query_id", candidate: str = "s1_id") -> DataFrame:
-    """The top fused candidate always taken."""
-    return fused.where("fused_rank = 1").select(query, F.col(candidate).alias("best_s1"), F.lit(0.0).alias("p"))
+def baseline(fused: DataFrame, query: str = "query_id", candidate: str = "s1_id", queries: DataFrame | None = None) -> DataFrame:
+    """The top fused candidate always taken. With queries, those without candidates are decided too, for none."""
+    top = fused.where("fused_rank = 1").select(query, F.col(candidate).alias("best_s1"), F.lit(0.0).alias("p"))
+    return top if queries is None else queries.select(query).distinct().join(top, query, "left").withColumn("p", F.lit(0.0))
 
 
 def recall_at(ranked: DataFrame, truth: DataFrame, ks: tuple, query: str = "query_id", candidate: str = "s1_id", rank: str = "rank") -> DataFrame:

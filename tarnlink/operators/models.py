@@ -10,9 +10,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .relational import running
+
 
 class PairScorer(Protocol):
     """Adds logit to pairs with text columns left and right."""
@@ -132,8 +134,7 @@ class MatchClassifier:
 def average_precision(scored: DataFrame, label: str = "label", score: str = "p") -> DataFrame:
     """Sum of recall steps times precision over descending distinct scores, in one row (average_precision)."""
     per = scored.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    per = per.withColumns({"ctp": F.sum("tp").over(down), "cn": F.sum("n").over(down)})
+    per = running(per, [F.desc(score)], {"ctp": "tp", "cn": "n"})
     return per.agg((F.sum(F.col("tp") * F.col("ctp") / F.col("cn")) / F.nullif(F.sum("tp"), F.lit(0))).alias("average_precision"))
 
 
