@@ -82,11 +82,12 @@ def feature_names(pairs: DataFrame) -> list[str]:
     return [c for c, t in pairs.dtypes if t != "string" and c not in ("query_id", "s1_id", "label")]
 
 
-def fit(pairs: DataFrame, truth: DataFrame, **trees) -> tuple[MatchClassifier, float]:
-    """The classifier and its threshold from pairs and truth (query_id, s1_id)."""
+def fit(pairs: DataFrame, truth: DataFrame, decided: DataFrame | None = None, **trees) -> tuple[MatchClassifier, float]:
+    """The classifier on pairs, and its threshold on decided pairs (the same ones, if none are given), from truth
+    (query_id, s1_id)."""
     labelled = relational.left_fill(pairs, truth.where("query_id is not null").withColumn("label", F.lit(1)), ["query_id", "s1_id"], 0)
     model = MatchClassifier(feature_names(pairs), **trees).fit(labelled)
-    chosen = best_threshold(sweep(best_candidates(model.predict(pairs)), truth)).first()
+    chosen = best_threshold(sweep(best_candidates(model.predict(pairs if decided is None else decided)), truth)).first()
     return model, chosen["threshold"]
 
 
