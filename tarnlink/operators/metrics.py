@@ -13,15 +13,21 @@ def macro_f05(predicted: DataFrame, truth: DataFrame, query: str = "query_id", b
     and predicted entities: an entity without records scores 1 if nothing was predicted for it, else 0.
     """
     keys = by.columns if by is not None else []
+    n = lambda c: F.sum(c.cast("long"))
     true = truth.where(F.col(query).isNotNull()).select("s1_id", query).distinct()
     sizes = truth.groupBy("s1_id").agg(F.countDistinct(query).alias("t"))
     guess = predicted.withColumnRenamed("best_s1", "s1_id").distinct()
     hit = true.withColumn("hit", F.lit(1))
     per = guess.join(hit, ["s1_id", query], "left").groupBy(*keys, "s1_id").agg(F.count(F.lit(1)).alias("p"), F.count("hit").alias("tp"))
-    base = sizes.crossJoin(F.broadcast(by)) if by is not None else sizes
-    rows = base.join(per, [*keys, "s1_id"], "full").fillna(0, ["t", "p", "tp"])
-    score = F.when((F.col("t") == 0) & (F.col("p") == 0), 1.0).when((F.col("t") == 0) | (F.col("p") == 0), 0.0).otherwise(1.25 * F.col("tp") / (0.25 * F.col("t") + F.col("p")))
-    return rows.groupBy(*keys).agg(F.avg(score).alias("f05"), F.count(F.lit(1)).alias("entities"))
+    # only predicted entities are scored one by one; the others count 1 without records and 0 with some
+    score = F.when(F.col("t") > 0, 1.25 * F.col("tp") / (0.25 * F.col("t") + F.col("p")))
+    found = per.join(sizes, "s1_id", "left").groupBy(*keys)
+    found = found.agg(F.sum(score).alias("right"), n(F.col("t") == 0).alias("spoilt"), n(F.col("t").isNull()).alias("unknown"))
+    rows = found if by is None else by.join(found, keys, "left")
+    whole = sizes.agg(F.count(F.lit(1)).alias("known"), n(F.col("t") == 0).alias("alone"))
+    rows = rows.crossJoin(F.broadcast(whole)).fillna(0, ["right", "spoilt", "unknown", "alone"])
+    entities = F.col("known") + F.col("unknown")
+    return rows.select(*keys, ((F.col("right") + F.col("alone") - F.col("spoilt")) / F.nullif(entities, F.lit(0))).alias("f05"), entities.alias("entities"))
 
 
 def pair_metrics(best: DataFrame, truth: DataFrame, threshold: float, query: str = "query_id") -> DataFrame:
