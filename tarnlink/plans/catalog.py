@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import addresses, names, similarity, tokens
+from ..llm.common import materialize, prefilter
 from ..operators import decide, features, fusion, metrics, mining, models, postings, relational, sampling, search, validate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,10 +190,48 @@ def feature_retrieval(spark, sf_dir):
 
 @query(f"""WITH {_search_sql('words', 3)} SELECT query_id AS doc_id, s1_id AS item_id, score FROM top WHERE score >= 0.5""")
 def decontaminate(spark, sf_dir):
-    """Documents close to a benchmark passage."""
+    """Documents close to a benchmark passage, by its SQL: the cosine of whole texts, the 3 best passages of a document;
+    decontaminate_whole has neither cut."""
     return method_hits(spark, sf_dir, "words", 3).where("score >= 0.5").select(F.col("query_id").alias("doc_id"), F.col("s1_id").alias("item_id"), "score")
 
 
+@query(rf"""WITH {_search_sql('words')}, held AS (SELECT DISTINCT doc_id AS query_id, item_id AS s1_id, true AS whole FROM documents d JOIN benchmark b ON contains(d.text, b.text)
+      WHERE regexp_matches(b.text, '[^\x20\x09-\x0D]'))
+SELECT query_id AS doc_id, s1_id AS item_id, coalesce(score, 0.0) AS score, coalesce(whole, false) AS contained
+FROM sc FULL JOIN held USING (query_id, s1_id) WHERE coalesce(score, 0.0) >= 0.5 OR coalesce(whole, false)""")
+def decontaminate_whole(spark, sf_dir):
+    """Every pair of a document and a benchmark passage whose texts have a cosine of 0.5 at least, or of which the
+    document holds the passage whole, however long the document is. Blank passages are held by none."""
+    index = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("s1_id"), F.coalesce("text", F.lit("")).alias("text"))
+    asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
+    cut = tokens.words(F.lower("text"))
+    # words that no passage has weigh nothing, so they need not be shuffled
+    words = prefilter(asked.select("query_id", F.explode(cut).alias("term")), ["term"], index.select(F.explode(cut).alias("term")))
+    own, found = postings.fitted(index, words, "s1_id", "query_id", cut, F.array("term"))
+    # a written index is known to be small where it is; then the sums of a document stay in one partition
+    own = materialize(own, "whole-index")
+    close = search.posting_scores(found.repartition("query_id"), own, "query_id", "s1_id").withColumn("score", F.round("score", search.DIGITS)).where("score > 0")
+    held = materialize(contained(asked, index), "whole-held")
+    near = close.join(held, ["query_id", "s1_id"], "left").where("score >= 0.5 or whole")
+    near = materialize(near.select("query_id", "s1_id", "score", F.coalesce("whole", F.lit(False)).alias("contained")), "whole-near")
+    rest = held.join(near, ["query_id", "s1_id"], "left_anti").select("query_id", "s1_id", F.lit(0.0).alias("score"), F.lit(True).alias("contained"))
+    return near.unionByName(rest).withColumnsRenamed({"query_id": "doc_id", "s1_id": "item_id"})
+
+
+def contained(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, s1_id, whole: true): all passages that a document holds whole. Pairs come by the longest word that has
+    white space on both sides within the passage, as that is a word of the document too; passages without one, of two
+    words at most, are compared with every document."""
+    inner = F.expr(r"array_distinct(filter(split(regexp_replace(regexp_replace(text, '^\\S*', ''), '\\S*$', ''), '\\s+'), w -> w <> ''))")
+    longest = F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
+    items = passages.where(r"text rlike '\\S'").withColumn("word", F.get(longest, F.lit(0))["w"]).withColumnRenamed("text", "passage")
+    words = docs.select("query_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    known = items.where("word is not null")
+    near = prefilter(words, ["word"], known).join(known, "word").where("contains(text, passage)").select("query_id", "s1_id")
+    short = docs.join(items.where("word is null"), F.expr("contains(text, passage)")).select("query_id", "s1_id")
+    return near.unionByName(short).distinct().withColumn("whole", F.lit(True))
+
+
 _KNN = """
 v AS (SELECT vec_id, label, embedding FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id AS s1_id, a.label AS la, b.label AS lb,

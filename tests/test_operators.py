@@ -199,3 +199,16 @@ def test_average_precision_and_embedder(spark):
     assert abs(models.average_precision(rows).first()[0] - (1 + 2 / 3) / 2) < 1e-12
     got = models.HashedEmbedder(64).embed(spark.createDataFrame([("abc",), (None,)], "t string"), "t", "v").collect()
     assert abs(sum(x * x for x in got[0].v) - 1) < 1e-5 and models.batches_by_length(spark.createDataFrame([("abc",)], "t string"), "t").count() == 1
+
+
+def test_decontaminate_whole_has_no_rank_cut_and_finds_passages_in_long_documents(spark, tmp_path):
+    passage = "the seven grey boats left harbour before dawn"
+    items = [(i, passage) for i in range(1, 6)] + [(6, "boats at"), (7, " "), (8, None), (9, "other words stand here alone")]
+    long = " ".join(f"filler{i}" for i in range(400))
+    docs = [(1, passage), (2, f"{long} {passage} {long}"), (3, "lifeboats attend"), (4, None), (5, "the seven grey boats")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.item_id): r.contained for r in catalog.decontaminate_whole(spark, str(tmp_path)).collect()}
+    holds = {(d, i) for d, text in docs for i, p in items if text and p and p.strip() and p in text}
+    assert {k for k, v in got.items() if v} == holds and {(d, i) for d in (1, 2) for i in range(1, 6)} | {(3, 6)} == holds
+    assert set(got) - holds == {(5, i) for i in range(1, 6)}
