@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarnlink.llm.common import load, materialize
@@ -10,7 +10,7 @@ from tarnlink.llm.language_id import accept_documents
 from tarnlink.llm.line_dedup import line_dedup
 from tarnlink.llm.mixing import mix
 from tarnlink.llm.ngram_join import jaccard_components
-from tarnlink.llm.packing import pack
+from tarnlink.llm.packing import count_words, pack
 
 #: The columns every stage but the last returns; n_chars follows the text.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,16 +28,28 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: the one of smallest doc_id."""
-    kept = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each near-duplicate component: the one of smallest doc_id. Rows that repeat its doc_id and text are
+    one, of the smallest other columns; rows of its doc_id with other texts all stay."""
+    found = jaccard_components(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.max("component_id").alias("_most"))
+    rows = docs.select(*COLUMNS).join(found.where("doc_id = _most").select("doc_id", "_rows"), "doc_id")
+    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
+    several = rows.where("_rows > 1").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_first"))
+    return rows.where("_rows = 1").select(*COLUMNS).unionByName(several.select("doc_id", "text", *(f"_first.{c}" for c in others)).select(*COLUMNS))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture draws it, once at least."""
-    drawn = mix(docs).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("_times"))
-    rows = docs.join(drawn, "doc_id").withColumn("_draw", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return rows.select(*COLUMNS)
+    """Each row as often as the mixture draws it, once at least. Rows of equal doc_id, source and number of tokens are drawn
+    as one and share the draws, the first by their other columns one more if they do not divide."""
+    keys = ["doc_id", "_source", "_tokens"]
+    drawn = mix(docs).groupBy(F.col("doc_id"), F.col("source").alias("_source"), F.col("n_tokens").alias("_tokens"))
+    # epoch 0 draws every row once, so it counts the rows
+    drawn = drawn.agg(F.count(F.lit(1)).alias("_draws"), F.sum((F.col("epoch") == 0).cast("long")).alias("_rows"))
+    rows = docs.select(*COLUMNS, F.coalesce("source", F.lit("")).alias("_source"), (count_words() + 1).alias("_tokens")).join(drawn, keys)
+    order = Window.partitionBy(*keys).orderBy("lang", "n_chars", "text")
+    one = rows.where("_rows = 1").withColumn("_times", F.col("_draws"))
+    several = rows.where("_rows > 1").withColumn("_at", F.row_number().over(order))
+    several = several.withColumn("_times", F.expr("_draws div _rows + if(_at <= _draws % _rows, 1, 0)")).drop("_at")
+    return one.unionByName(several).withColumn("_draw", F.explode(F.expr("sequence(1L, _times)"))).select(*COLUMNS)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tarnlink.llm import language_id, toxicity
 from tarnlink.llm.common import load, materialize
+from tarnlink.llm.mixing import mix
 
 from .test_text_dedup import brute_components, brute_lines
 
@@ -143,3 +144,25 @@ def test_other_columns_with_clashing_names(spark):
     assert pick(toxicity.score_toxicity(more, labels.withColumn("y", F.lit(0)))) == pick(toxicity.score_toxicity(docs, labels))
     kept = language_id.accept_documents(more)
     assert kept.columns == more.columns and pick(kept.select("doc_id")) == pick(language_id.accept_documents(docs).select("doc_id"))
+
+
+def test_repeated_rows_are_one_and_are_drawn_by_the_mixture(spark):
+    schema = load(spark, SF, "documents").select(*corpus_pipeline.COLUMNS).schema
+    text = lambda w, n: " ".join(f"{w}{i}" for i in range(n))
+    many = [(1, text("a", 40), "en", "small", 9)] * 20
+    rest = [(2, text("b", 30), "en", "small", 9), (2, text("c", 30), "en", "small", 9), (3, text("d", 9000), "en", "large", 9), (4, None, None, None, 0)]
+    near = corpus_pipeline.near_stage(spark, spark.createDataFrame(many + rest, schema), SF)
+    assert Counter(map(tuple, near.collect())) == Counter([many[0], *rest])
+
+    # one text of doc_id 6 is a copy of doc_id 5, the other is not and stays; no row stays twice
+    own = [(6, text("f", 30), "en", "small", 9)]
+    near = corpus_pipeline.near_stage(spark, spark.createDataFrame([(5, text("e", 30), "en", "small", 9), *own, *[(6, text("e", 30), "en", "small", 9)] * 5], schema), SF)
+    near = Counter(map(tuple, near.collect()))
+    assert near[own[0]] == 1 and max(near.values()) == 1
+
+    docs = spark.createDataFrame(many + rest, schema)
+    want = Counter((r.doc_id, r.source, r.n_tokens) for r in mix(docs).collect())
+    mixed = Counter(map(tuple, corpus_pipeline.mix_stage(spark, docs, SF).collect()))
+    assert Counter({k: sum(n for r, n in mixed.items() if (r[0], r[3] or "", n_words(r[1]) + 1) == k) for k in want}) == want
+    assert set(mixed) == set(many + rest) and want[1, "small", 41] > 20
+    assert abs(mixed[rest[0]] - mixed[rest[1]]) <= 1
