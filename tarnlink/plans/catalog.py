@@ -263,10 +263,10 @@ def knn_label_recall(spark, sf_dir):
 
 @query()
 def fuzzy_prefix_expand(spark, sf_dir):
-    """Part-name words expanded to document words."""
+    """Part-name words of any length expanded to document words of any length."""
     left = table(spark, sf_dir, "part").select(F.explode(tokens.word_chars("p_name")).alias("word")).distinct()
     right = table(spark, sf_dir, "documents").select(F.explode(tokens.word_chars(F.coalesce("text", F.lit("")))).alias("term")).distinct()
-    return search.fuzzy_expansions(left.where("length(word) >= 4"), right.where("length(term) >= 4"), "word", "term", 50)
+    return search.fuzzy_expansions(left, right, "word", "term", 50)
 
 
 # ---- pair features and text rules ----

@@ -212,3 +212,20 @@ def test_decontaminate_whole_has_no_rank_cut_and_finds_passages_in_long_document
     holds = {(d, i) for d, text in docs for i, p in items if text and p and p.strip() and p in text}
     assert {k for k, v in got.items() if v} == holds and {(d, i) for d in (1, 2) for i in range(1, 6)} | {(3, 6)} == holds
     assert set(got) - holds == {(5, i) for i in range(1, 6)}
+
+
+def test_fuzzy_prefix_expand_has_short_words(spark, tmp_path):
+    def osa(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i * j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 2 : i] == b[j - 2 : j][::-1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    words, terms = "old red ox blue steel".split(), "old ole olden re red reads reader ox oxen oxygen ble blue bl bluish steal stele st".split()
+    spark.createDataFrame([(" ".join(words),)], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(" ".join(terms),)], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalog.queries()["fuzzy_prefix_expand"](spark, str(tmp_path)).collect()}
+    assert got == {(a, b, osa(a, b)) for a in words for b in terms if a[:2] == b[:2] and osa(a, b) <= 2}
