@@ -33,10 +33,10 @@ LOOKALIKE = ("01568", "olsbg")
 ALIAS = r"(?i)\s(?:d/b/a|a/k/a|t/a|doing business as|also known as|trading as)\s"
 TLDS = "com|net|org|in|co|io|biz|info|fr|us|ai|app|shop|store|online|site|tech"
 APOSTROPHES = "[’‘'`´ʼ]"
+DOMAIN = rf"(?i)^(?:https?://)?(?:www\.)?([a-z0-9-]+)\.(?:{TLDS})(?:\.[a-z]{{2}})?(?:/\S*)?$"
 # ---- end of fixed values ----
 
 FORMS = sorted(set(LEGAL.values()) - {"public"} | {"plc"})
-DOMAIN = rf"(?i)^(?:https?://)?(?:www\.)?([a-z0-9-]+)\.(?:{TLDS})(?:\.[a-z]{{2}})?(?:/\S*)?$"
 #: Dots of a run of single letters at a word's start: the first if another pair follows, the others if one stands before.
 ACRONYM_DOT = r"(?<=\b[a-z])\.(?=[a-z]\.)|(?<=\b[a-z]\.(?:[a-z]\.){0,20}[a-z])\."
 
@@ -66,7 +66,9 @@ def join_acronyms(text: Column) -> Column:
 
 def undo_lookalikes(token: Column) -> Column:
     """0 1 5 6 8 in a token with three letters become o l s b g."""
-    return F.when(token.rlike("^(?=(?:[^a-z]*[a-z]){3})[a-z01568]*[01568][a-z01568]*$"), F.translate(token, *LOOKALIKE)).otherwise(token)
+    read = F.translate(token, *LOOKALIKE)
+    letters = F.length(F.regexp_replace(token, "[^a-z]", ""))
+    return F.when(read.rlike("^[a-z]+$") & (letters >= 3), read).otherwise(token)
 
 
 def drop_honorifics(text: Column) -> Column:

@@ -21,6 +21,7 @@ ADDRESSES = [
     ("#1038 Sector 9, Faridabad, Haryana", "India", "1038 sector 9, faridabad, hr", "hr"), ("63 R. DE DIEPPE, LILLE, Nord", "France", "63 rue de dieppe, lille, hdf", "hdf"),
     ("Washington, 2 I Street, Unit 724, DC", "US", "2 i st, unit 724, wa, dc", "dc"), (None, "US", "", ""), ("N/A", None, "", ""), ("1056-1060 Belden Ave", "US", "1056 belden ave", ""),
     ("1060-1056 Belden", "us", "1060-1056 belden", ""), ("Flat 007, A-12 B/4", "India", "flat 7, a12 b 4", ""), ("2ème étage, Allée", "France", "2 fl, allee", ""),
+    ("hno 12, door no no 5 main rd", "US", "12, 5 main rd", ""), ("h h no 7", "US", "h 7", ""), ("no house 3", "US", "house 3", ""), ("Salem City", "US", "salem", ""),
 ]
 
 
@@ -86,6 +87,7 @@ def test_similarity_examples():
 
 
 def test_unicode():
+    assert unicode.repair("é CafÃ© Bâtiment") == "é Café Bâtiment" and unicode.repair("itâ€™s\x85aï¿½") == "it's a "
     assert unicode.repair("CafÃ©") == "Café" and unicode.romanise("Straße Ørsted") == "Strasse Orsted" and unicode.fold_latin(" ÉCOLE ﬁ ") == "ecole fi"
     assert unicode.romanise("राम") == "raam".replace("aa", "a") + "" and unicode.romanise("दिल्ली") == "dilli"
 
