@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir; a temporary one where that is unset, but on one machine only (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tarnlink-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -29,19 +32,42 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tarnlink/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and lost executors cost nothing."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    # the shuffle files of what was written go once the driver has collected its garbage, so let it do so now
-    df.sparkSession._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Shuffle files go when the query that made them has ended, not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, done: Sequence[DataFrame] = ()) -> DataFrame:
+    """Writes df to the shared folder and reads it back: lineage ends there and lost executors cost nothing.
+
+    done names tables of materialize() that nothing reads from now on; they are deleted.
+    """
+    spark = df.sparkSession
+    path, old = scratch_path(spark, label), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if old is None else spark.conf.set(CLEANUP, old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    release(*done)
+    return out
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of materialize(); their last reader must have run."""
+    for table in tables:
+        _delete(table.sparkSession, table._scratch)
 
 
 def release_scratch(spark: SparkSession) -> None:
     """Deletes every table materialize() has written below the shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tarnlink")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{scratch_root(spark)}/tarnlink")
 
 
 def partitions(spark: SparkSession) -> int:
@@ -125,7 +151,7 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     now = materialize(edges.select("u", "v").where("u <> v").distinct(), label)
     seen = None
     while True:
-        now = materialize(stars(stars(now, True), False), label)
+        now = materialize(stars(stars(now, True), False), label, done=(now,))
         mark = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         if tuple(mark) == seen:
             break

@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, bitmap, fetch_texts, materialize, maybe_in, partitions, prefilter, salted_lookup
+from .common import bitmap, fetch_texts, materialize, maybe_in, partitions, prefilter, release, salted_lookup
 
 #: Matches of this many bytes count; anchors are grams of GRAM bytes.
 LENGTH, GRAM = 100, 32
 #: Bytes of zones that one index holds, about.
 INDEX = 1 << 19
+#: Distinct zones of a gram that one index holds at most; the windows of other grams are told apart by more bytes first.
+ZONES = 2048
 _BYTE = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E6C63D0876A9A35)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -60,7 +62,7 @@ class Hashes:
 
 
 def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...] | None:
-    """(gram hash, zone hash, first and last window start) of each anchor of a document, by place.
+    """(gram hash, zone hash, first and last window start, place) of each anchor of a document.
 
     The anchor of a window of length bytes is its leftmost gram of least hash, so equal windows have equal grams at
     the same place in them; the windows of one anchor start at consecutive bytes, and their union is its zone.
@@ -89,7 +91,7 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
     first, at = np.concatenate(firsts), np.concatenate(places)
     last = np.concatenate((first[1:] - 1, [windows - 1]))
     zone = hashes.at(first, last + length) + (at - first).astype(np.uint64) * _BASE
-    return grams[at], _scramble(zone), first, last
+    return grams[at], _scramble(zone), first, last, at
 
 
 class RunIndex:
@@ -179,35 +181,56 @@ def _sites(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterato
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if (found := anchors(as_bytes(text), length, gram)) is not None:
                 ids.append(doc)
-                parts.append((found[0].view(np.int64), found[1].view(np.int64), found[2], found[3] - found[2]))
+                parts.append((found[0].view(np.int64), found[1].view(np.int64), found[2], found[3] - found[2], found[4] - found[2]))
         lengths = pa.array(np.concatenate(([0], np.cumsum([len(x[0]) for x in parts]))).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(lengths, _ints([x[i] for x in parts], pa.int64() if i < 2 else pa.int32())) for i in range(4)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], ["doc_id", "h", "z", "first", "width"])
+        lists = [pa.ListArray.from_arrays(lengths, _ints([x[i] for x in parts], pa.int64() if i < 2 else pa.int32())) for i in range(5)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], ["doc_id", "h", "z", "first", "width", "place"])
+
+
+def _split(zone: dict, hashes: Hashes, length: int) -> Iterator[tuple[int, ...]]:
+    """The windows of a zone in two, by whether they hold the next bytes after those that all of them hold.
+
+    All windows hold the bytes from at - left to at + right, which the key stands for. Half of what is unknown of a window is
+    taken after them; windows that do not reach so far hold as many bytes, and one more, before them. Equal windows
+    stand alike to the anchor, so they are on one side and get one key. Rows are as those of sites.
+    """
+    first, last, left, right = zone["first"], zone["first"] + zone["width"], zone["left"], zone["right"]
+    at, unknown = first + zone["place"], length - left - right
+    more = (unknown + 1) // 2
+    turn = at + right + more - length  # the first window that holds the bytes after
+    before = unknown + 1 - more
+    for a, b, start, end, l2, r2, side in (
+        (max(first, turn), last, at + right, at + right + more, left, right + more, 1),
+        (first, min(last, turn - 1), at - left - before, at - left, left + before, right, 2),
+    ):
+        if a <= b:
+            seen = hashes.at(np.array([start, a]), np.array([end, b + length]))
+            old = np.array([zone["h"]], np.int64).view(np.uint64)
+            key = _scramble(old * _BASE + seen[:1] + np.uint64(side))
+            body = _scramble(seen[1:] + np.uint64(at - a) * _BASE)
+            yield int(key.view(np.int64)[0]), int(body.view(np.int64)[0]), a, b - a, at - a, l2, r2
+
+
+_PART = "h long, z long, doc_id long, first int, width int, place int, left int, right int, data binary"
 
 
 def _zones(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of cold zones; for hot ones two hashes of each window."""
+    """The bytes of zones that one index can hold; the halves of others."""
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 5 + [pa.binary()]
+    names = [x.split()[0] for x in _PART.split(", ")]
     for b in batches:
-        cold, hot = [], []
+        out = []
         cols = [b.column(b.schema.get_field_index(x)).to_pylist() for x in ("doc_id", "text", "zones")]
         for doc, text, zones in zip(*cols, strict=True):
             data = as_bytes(text)
-            hashes = Hashes(data) if any(z["hot"] for z in zones) else None
+            hashes = Hashes(data) if any(z["many"] for z in zones) else None
             for z in zones:
-                first, width = z["first"], z["width"]
-                if z["hot"]:
-                    at = np.arange(first, first + width + 1)
-                    middle = at + length // 2
-                    hot.append((hashes.at(at, at + length), hashes.at(middle, at + length), np.full(len(at), doc), at))
+                if z["many"]:
+                    out += [(h, body, doc, *rest, None) for h, body, *rest in _split(z, hashes, length)]
                 else:
-                    cold.append((z["h"], doc, first, data[first : first + width + length]))
-        names = ["h", "w", "doc_id", "first", "data"]
-        if cold:
-            h, doc, first, data = zip(*cold, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.nulls(len(h), pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(data, pa.binary())], names)
-        if hot:
-            cols = [_ints([x[i].view(np.int64) for x in hot]) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(cols[0]), pa.binary())], names)
+                    out.append((z["h"], None, doc, z["first"], z["width"], None, None, None, data[z["first"] : z["first"] + z["width"] + length]))
+        cols = list(zip(*out, strict=True)) if out else [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
 def _index(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -236,37 +259,48 @@ def _index(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, first, last): byte spans of docs covered by strings of length bytes that also start earlier.
+    """(doc_id, spans: array of first, last): the bytes covered by strings of length bytes that also start earlier.
 
     Every window is named by its anchor, and windows can only be equal within the zones of one gram. Zones that are
-    copies of an earlier one are spans at once; the distinct zones of a gram are indexed together. A gram with very
-    many distinct zones is resolved window by window instead, by two hashes of 64 bits.
+    copies of an earlier one are spans at once; the distinct zones of a gram are indexed together. The windows of a gram
+    with more of them than an index takes are split by the bytes next to it, again and again until an index holds each
+    group; once all bytes are known, equal windows are one zone. Every table goes once its last reader has run.
     """
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    found = rows.mapInArrow(lambda it: _sites(it, length, gram), "doc_id long, h array<long>, z array<long>, first array<int>, width array<int>")
-    found = materialize(found, "repeats-anchors")
+    lists = "h array<long>, z array<long>, first array<int>, width array<int>, place array<int>"
+    found = materialize(rows.mapInArrow(lambda it: _sites(it, length, gram), f"doc_id long, {lists}"), "repeats-anchors")
     grams = found.select(F.explode("h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     grams = materialize(grams, "repeats-grams")
-    sites = found.select("doc_id", F.explode(F.arrays_zip("h", "z", "first", "width")).alias("s")).select("doc_id", "s.*")
+    sites = found.select("doc_id", F.explode(F.arrays_zip("h", "z", "first", "width", "place")).alias("s")).select("doc_id", "s.*")
     sites = salted_lookup(prefilter(sites, ["h"], grams.select("h"), 24), grams, ["h"], "n", ["doc_id", "first"]).drop("n")
-    sites = materialize(sites, "repeats-sites")
-    here = F.struct("doc_id", "first")
-    zones = sites.groupBy("h", "z").agg(F.min(here).alias("earliest"), F.max("width").alias("width"), F.count(F.lit(1)).alias("n"))
-    zones = materialize(zones, "repeats-zones")
-    copies = salted_lookup(sites.drop("width"), zones.where("n > 1"), ["h", "z"], "n", ["doc_id", "first"]).where(here > F.col("earliest"))
-    spans = copies.select("doc_id", F.col("first").cast("long"), (F.col("first") + F.col("width") + length).cast("long").alias("last"))
-    several = zones.groupBy("h").agg(F.count(F.lit(1)).alias("nz")).where("nz > 1")
-    open_zones = salted_lookup(zones.select("h", "earliest.*", "width"), several, ["h"], "nz", ["doc_id", "first"])
-    wanted = open_zones.groupBy("doc_id").agg(F.collect_list(F.struct("h", "first", "width", (F.col("nz") > HOT_ROWS).alias("hot"))).alias("zones"))
-    parts = fetch_texts(docs, wanted).mapInArrow(lambda it: _zones(it, length), "h long, w long, doc_id long, first long, data binary")
-    parts = materialize(parts, "repeats-parts")
-    n = partitions(docs.sparkSession)
-    cold = parts.where("data is not null").select("h", "doc_id", "first", "data").repartition(n, "h").sortWithinPartitions("h")
-    cold = cold.mapInArrow(lambda it: _index(it, length), "doc_id long, first long, last long")
-    hot = parts.where("data is null").drop("data")
-    earliest = hot.groupBy("h", "w").agg(F.min(here).alias("earliest"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    hot = salted_lookup(hot, earliest, ["h", "w"], "n", ["doc_id", "first"]).where(here > F.col("earliest"))
-    return spans.unionByName(cold).unionByName(hot.select("doc_id", "first", (F.col("first") + length).alias("last")))
+    sites = sites.withColumns({"left": F.lit(0), "right": F.lit(gram)})
+    sites = from_ = materialize(sites, "repeats-sites", done=(found, grams))
+    here, n, spans = F.struct("doc_id", "first"), partitions(docs.sparkSession), []
+    while True:
+        same = [F.max(c).alias(c) for c in ("width", "place", "left", "right")]  # one value in a zone
+        zones = sites.groupBy("h", "z").agg(F.min(here).alias("earliest"), *same, F.count(F.lit(1)).alias("n"))
+        zones = materialize(zones, "repeats-zones")
+        copies = salted_lookup(sites.select("h", "z", "doc_id", "first"), zones.where("n > 1"), ["h", "z"], "n", ["doc_id", "first"]).where(here > F.col("earliest"))
+        copies = copies.select("doc_id", F.col("first").cast("long"), (F.col("first") + F.col("width") + length).cast("long").alias("last"))
+        spans.append(materialize(copies, "repeats-copies", done=(from_,)))
+        several = zones.groupBy("h").agg(F.count(F.lit(1)).alias("nz")).where("nz > 1")
+        open_zones = salted_lookup(zones.select("h", "earliest.*", "width", "place", "left", "right"), several, ["h"], "nz", ["doc_id", "first"])
+        open_zones = open_zones.withColumn("many", (F.col("nz") > ZONES) & (F.col("left") + F.col("right") < length)).drop("nz")
+        wanted = open_zones.groupBy("doc_id").agg(F.collect_list(F.struct(*(c for c in open_zones.columns if c != "doc_id"))).alias("zones"))
+        parts = fetch_texts(docs, wanted).mapInArrow(lambda it: _zones(it, length), _PART)
+        parts = from_ = materialize(parts, "repeats-parts", done=(zones,))
+        cold = parts.where("data is not null").select("h", "doc_id", F.col("first").cast("long"), "data").repartition(n, "h").sortWithinPartitions("h")
+        cold = cold.mapInArrow(lambda it: _index(it, length), "doc_id long, first long, last long")
+        spans.append(materialize(cold, "repeats-indexed"))
+        sites = parts.where("data is null").drop("data")
+        if sites.isEmpty():
+            break
+    out = spans[0]
+    for more in spans[1:]:
+        out = out.unionByName(more)
+    out = materialize(out.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans")), "repeats-spans", done=spans)
+    release(parts)
+    return out
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,8 +331,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     whole; rows that repeat a doc_id count as at the same place. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = repeated_spans(docs, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    spans = materialize(spans, "repeats-spans")
+    spans = repeated_spans(docs, length, gram)
     near = maybe_in(docs, ["doc_id"], bitmap(spans, ["doc_id"], 22), 22)
     hit = near.where("_maybe").drop("_maybe").join(spans.hint("shuffle_hash"), "doc_id", "left")
     rest = near.where("not _maybe").drop("_maybe").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))

@@ -63,10 +63,10 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hot", [2048, 3, 1])
 def test_remove_repeats_is_brute_force(spark, docs, monkeypatch, hot):
-    if hot:
-        monkeypatch.setattr("tarnlink.llm.suffix_dedup.HOT_ROWS", 1)
+    monkeypatch.setattr("tarnlink.llm.suffix_dedup.ZONES", hot)
+    if hot == 1:
         monkeypatch.setattr("tarnlink.llm.common.HOT_ROWS", 1)
     got = {r[0]: tuple(r)[1:] for r in kept_digest(remove_repeats(docs)).collect()}
     assert got == brute_repeats([(r.doc_id, r.text) for r in docs.collect()], 100)
