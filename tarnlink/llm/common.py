@@ -124,13 +124,13 @@ def salted_lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str
 
 
 def fetch_texts(docs: DataFrame, wanted: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, text, wanted's columns) of the wanted documents; only texts that pass a bitmap are shuffled."""
+    """(key, text, wanted's columns) of each row with a wanted key; only texts that pass a bitmap are shuffled."""
     texts = docs.select(key, "text").where(F.col(key).isNotNull())
     return prefilter(texts, [key], wanted).join(wanted.hint("shuffle_hash"), key)
 
 
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
-    """(node, comp) of every node of edges (u, v: long); comp is the smallest node of its component.
+    """A table (node, comp) of every node of edges (u, v: long); comp is the smallest node of its component.
 
     Alternating large-star and small-star steps; each round ends in a shared table. The rows of a hub meet its one minimum in
     a plain join, so that adaptive execution splits them.
@@ -156,6 +156,5 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         if tuple(mark) == seen:
             break
         seen = tuple(mark)
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp")).unionByName(
-        now.select(F.col("v").alias("node")).distinct().withColumn("comp", F.col("node"))
-    )
+    out = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp"))
+    return materialize(out.unionByName(now.select(F.col("v").alias("node")).distinct().withColumn("comp", F.col("node"))), label, done=(now,))

@@ -2,32 +2,35 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from array import array
-from collections.abc import Iterator
-from functools import lru_cache
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, connected_components, fetch_texts, materialize, maybe_in, partitions, prefilter, salted_lookup
+from .common import bitmap, connected_components, fetch_texts, materialize, maybe_in, partitions, prefilter, release, salted_lookup
 
 #: Similarity 80 of 100, shingles of five words.
 PERCENT, WORDS = 80, 5
 #: The members of all sets that are searched in one block, about; larger groups are cut into chunks.
-BLOCK = 1 << 18
+BLOCK = 1 << 15
+#: A group of more chunks than this is dealt by the rare members of its sets instead.
+CHUNKS = 8
 #: Multipliers of the independent minimum hashes that gather near copies first.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_WEIGHT = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Key of the 128-bit word hash, and the weights of the words of a shingle in its two halves.
+KEY = 0x5851F42D4C957F2D
+_WEIGHT = np.random.default_rng(20240607).integers(1, 2**63, (2, 16), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Characters hashed in one go, about.
 BATCH = 1 << 18
-_BASE, _STEP = np.uint64(0x5851F42D4C957F2D), np.uint64(0xD1342543DE82EF95)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 2**64))
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -36,62 +39,45 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-@lru_cache(2)
-def _table(base: np.uint64) -> np.ndarray:
-    return _powers(base, 2 * BATCH)
+def _mixed(word: np.ndarray, k: int, weights: np.ndarray) -> np.ndarray:
+    """A hash of each k consecutive of the word hashes."""
+    full = np.full(max(0, len(word) - k + 1), np.uint64(k))
+    for i in range(k):
+        full = full + word[i : i + len(full)] * weights[i % len(weights)]
+        if i % len(weights) == len(weights) - 1:
+            full = _scramble(full)
+    return _scramble(full)
 
 
-def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its k-word shingles; one for all its words if it has fewer.
+def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the distinct hashes of its k-word shingles, as two halves of 64 bits sorted by the first; one shingle
+    for all its words if it has fewer.
 
-    The bytes of all texts are hashed in one go: a word's hash is a difference of running sums, a shingle's a weighted
-    sum of its words' hashes.
+    Each distinct word is hashed whole, to 128 bits under a key; each half of a shingle is a weighted sum of the like
+    halves of its words.
     """
-    raws = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
-    low = np.frombuffer(b"\n".join(raws).translate(_FOLD) + b"\n", np.uint8)
-    starts = np.cumsum([0, *(len(x) + 1 for x in raws)])
-    white = (low == 32) | ((low >= 9) & (low <= 13))
-    turn = np.flatnonzero(white[1:] != white[:-1]) + 1
-    if not white[0]:
-        turn = np.concatenate(([0], turn))
-    begin, end = turn[::2], turn[1::2]  # the last byte is white, so each word has an end
-    if len(low) <= 2 * BATCH:
-        power, back = _table(_BASE), _table(_BASE_INV)
-    else:
-        power, back = _powers(_BASE, len(low)), _powers(_BASE_INV, len(low))
-    total = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum(_BYTE[low] * power[: len(low)], out=total[1:])
-    word = _scramble((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64) * _STEP)
-    first = np.searchsorted(begin, starts)  # the first word of each text
-    full = np.full(max(0, len(word) - k + 1), np.uint64(k))
-    for i in range(k):
-        full = full + word[i : i + len(full)] * _WEIGHT[i % len(_WEIGHT)]
-        if i % len(_WEIGHT) == len(_WEIGHT) - 1:
-            full = _scramble(full)
-    full = _scramble(full)
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if b - a >= k:
-            own = np.sort(full[a : b - k + 1])
-            fresh = own[1:] != own[:-1]
-            out.append(own if fresh.all() else own[np.concatenate(([True], fresh))])
-        elif b > a:
-            short = np.full(1, b - a, np.uint64)
-            for i in range(a, b):
-                short = _scramble(word[i : i + 1] + short * _STEP)
-            out.append(short)
+    words = [(x or "").encode("utf-8", "surrogatepass").translate(_FOLD).split() for x in texts]
+    code = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
+    table = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, KEY) for w in code), np.uint64).reshape(-1, 2)
+    lengths = [len(x) for x in words]
+    at = np.fromiter(map(code.__getitem__, chain.from_iterable(words)), np.int64, sum(lengths))
+    halves = [table[at, i] for i in (0, 1)]
+    full = [_mixed(x, k, w) for x, w in zip(halves, _WEIGHT, strict=True)]
+    out, start = [], 0
+    for n in lengths:
+        if n >= k:
+            own = full[0][start : start + n - k + 1]
+            by = np.argsort(own)
+            own = own[by]
+            first = np.concatenate(([True], own[1:] != own[:-1]))
+            out.append((own[first], full[1][start : start + n - k + 1][by][first]))
         else:
-            out.append(np.empty(0, np.uint64))
+            out.append(tuple(_mixed(x[start : start + n], n, w) if n else np.empty(0, np.uint64) for x, w in zip(halves, _WEIGHT, strict=True)))
+        start += n
     return out
 
 
-def batched_sets(texts: list[str | None], k: int = WORDS) -> Iterator[np.ndarray]:
+def batched_sets(texts: list[str | None], k: int = WORDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """shingle_sets() of about BATCH characters at a time."""
     some, size = [], 0
     for x in texts:
@@ -105,13 +91,13 @@ def batched_sets(texts: list[str | None], k: int = WORDS) -> Iterator[np.ndarray
 
 
 def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
-    return shingle_sets([text], k)[0]
+    return shingle_sets([text], k)[0][0]
 
 
-def signature(own: np.ndarray) -> int:
-    """A 64-bit hash of a set."""
-    both = int(np.bitwise_xor.reduce(_scramble(own + _MIX[0]))) + int(np.add.reduce(own * _MIX[1])) + len(own)
-    return int(_scramble(np.array([both % 2**64], np.uint64)).view(np.int64)[0])
+def signature(halves: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
+    """128 bits of BLAKE2 over both halves of all members: sets are equal if their signatures are."""
+    found = hashlib.blake2b(halves[0].tobytes() + halves[1].tobytes(), digest_size=16).digest()
+    return tuple(int.from_bytes(found[i : i + 8], "little", signed=True) for i in (0, 8))
 
 
 def need(n: int, m: int, percent: int = PERCENT) -> int:
@@ -130,48 +116,72 @@ def extra(n: int) -> int:
 
 
 class Searcher:
-    """Inverted lists over added sets; search() is DivideSkip: merge the short lists, probe the long ones.
+    """Inverted lists over added sets; search() is DivideSkip: heap-merge the short lists, binary-probe the long ones.
 
-    Lists ascend. The short ones are merged by counting their entries, which gives what a heap would; a candidate is
-    then looked up by binary search in each long list, all candidates at once.
+    The cost of a search follows the lists of its own members, not the number of sets added.
     """
 
     def __init__(self, percent: int = PERCENT, weight: float = 4.0):
-        self.percent, self.weight, self.lists, self.sizes = percent, weight, {}, array("q")
+        self.percent, self.weight, self.lists, self.sizes = percent, weight, {}, []
 
     def add(self, members: list[int]) -> int:
         k = len(self.sizes)
         self.sizes.append(len(members))
         for x in members:
-            if x in self.lists:
-                self.lists[x].append(k)
-            else:
-                self.lists[x] = array("i", (k,))
+            self.lists.setdefault(x, []).append(k)
         return k
 
+    @staticmethod
+    def merge(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
+        """(set, lists that hold it) of each set in at least that many of the ascending lists.
+
+        The heap holds the next entry of each list. If the smallest entry is too rare, as many more lists are taken off
+        as could not make up for it, and all of them skip to the entry that is then smallest.
+        """
+        many = len(lists)
+        heap = [x[0] * many + i for i, x in enumerate(lists)]
+        heapify(heap)
+        at = [0] * many
+        while len(heap) >= least:
+            top, taken = heap[0] // many, []
+            while heap and heap[0] // many == top:
+                taken.append(heappop(heap) % many)
+            if len(taken) >= least:
+                yield top, len(taken)
+                to = top + 1
+            else:
+                while len(taken) < least - 1 and heap:
+                    taken.append(heappop(heap) % many)
+                if not heap:
+                    return
+                to = heap[0] // many
+            for i in taken:
+                own = lists[i]
+                at[i] = bisect_left(own, to, at[i])
+                if at[i] < len(own):
+                    heappush(heap, own[at[i]] * many + i)
+
     def search(self, members: list[int]) -> list[int]:
-        """Indexes of all added sets that link to this one."""
+        """Indexes of all added sets that link to this one, ascending."""
         n = len(members)
         t = least(n, self.percent)
         found = [x for x in map(self.lists.get, members) if x]
         if len(found) < t or not t:
             return []
-        longest = max(map(len, found))
+        found.sort(key=len)
+        longest = len(found[-1])
         n_long = min(t - 1, int(t / (self.weight * math.log2(longest) + 1))) if longest > 1 else 0
-        if n_long:
-            found.sort(key=len)
         short, long = found[: len(found) - n_long], found[len(found) - n_long :]
-        counts = np.bincount(np.frombuffer(b"".join(short), np.int32), minlength=len(self.sizes))
-        some = np.flatnonzero(counts >= t - n_long)
-        counts = counts[some]
-        sizes = np.array(self.sizes, np.int64)[some]
-        for i, x in enumerate(long):
-            own = np.frombuffer(x, np.int32)
-            counts = counts + (own[np.minimum(np.searchsorted(own, some), len(own) - 1)] == some)
-            if i % 8 == 7:
-                alive = counts + (n_long - i - 1) >= t
-                some, counts, sizes = some[alive], counts[alive], sizes[alive]
-        return some[100 * counts >= self.percent * (n + sizes - counts)].tolist()
+        out = []
+        for x, count in self.merge(short, t - n_long):
+            for left, own in zip(range(n_long, 0, -1), long, strict=True):
+                if count + left < t:
+                    break
+                at = bisect_left(own, x)
+                count += at < len(own) and own[at] == x
+            if 100 * count >= self.percent * (n + self.sizes[x] - count):
+                out.append(x)
+        return out
 
 
 def _leaders(sets: list[tuple[int, list[int]]], percent: int) -> list[tuple[int, int]]:
@@ -196,34 +206,39 @@ def _across(sets: list[tuple[int, list[int], int, int]], percent: int, sides: bo
     return out
 
 
+def _longs(parts: list[np.ndarray]) -> pa.ListArray:
+    lengths = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*parts, np.empty(0, np.int64)]), pa.int64()))
+
+
 def _prints(batches: Iterator[pa.RecordBatch], percent: int, k: int) -> Iterator[pa.RecordBatch]:
+    names = ["n", "s1", "s2", "prefix", "keys"]
     for b in batches:
-        ids, sizes, sigs, prefixes, keys = [], [], [], [], []
-        for doc, own in zip(b.column(0).to_pylist(), batched_sets(b.column(1).to_pylist(), k), strict=True):
-            n = len(own)
-            ids.append(doc)
+        at = b.schema.get_field_index("text")
+        sizes, sigs, prefixes, keys = [], [], [], []
+        for halves in batched_sets(b.column(at).to_pylist(), k):
+            own, n = halves[0], len(halves[0])
             sizes.append(n)
-            sigs.append(signature(own) if n else None)
+            sigs.append(signature(halves) if n else (None, None))
             prefixes.append(own[: n - least(n, percent) + extra(n)].view(np.int64) if n else np.empty(0, np.int64))
             keys.append([int((own * m >> np.uint64(1)).min()) for m in _MIX] if n else [])
-        lengths = np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype(np.int32)
-        flat = pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)]), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), flat), pa.array(keys, pa.list_(pa.int64()))],
-            ["doc_id", "n", "sig", "prefix", "keys"],
-        )
+        rest = [i for i in range(b.num_columns) if i != at]
+        cols = [pa.array(sizes, pa.int64()), *(pa.array([x[i] for x in sigs], pa.int64()) for i in (0, 1)), _longs(prefixes), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), *cols], [*(b.schema.names[i] for i in rest), *names])
 
 
 def _sets(k: int, columns: list[str]):
+    """columns and members of rows (rk, text, s1, s2, columns) whose text has that signature; others only share the rk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             # a few rows at a time, as sets take more room than texts
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                found = [x.view(np.int64) for x in batched_sets(part.column(part.schema.get_field_index("text")).to_pylist(), k)]
-                lengths = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-                sets = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([*found, np.empty(0, np.int64)]), pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in columns), sets], [*columns, "members"])
+                col = {x: part.column(part.schema.get_field_index(x)) for x in ("text", "s1", "s2", *columns)}
+                found = list(batched_sets(col["text"].to_pylist(), k))
+                own = [i for i, (x, *sig) in enumerate(zip(found, col["s1"].to_pylist(), col["s2"].to_pylist(), strict=True)) if signature(x) == tuple(sig)]
+                yield pa.RecordBatch.from_arrays([*(col[c].take(pa.array(own, pa.int64())) for c in columns), _longs([found[i][0].view(np.int64) for i in own])], [*columns, "members"])
 
     return run
 
@@ -248,31 +263,57 @@ def _blocks(batches: Iterator[pa.RecordBatch], search) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
-def _search(blocks: DataFrame, search) -> DataFrame:
+def _search(blocks: DataFrame, search: Callable) -> DataFrame:
     n = partitions(blocks.sparkSession)
     dealt = blocks.repartition(n, "block").sortWithinPartitions("block", F.size("members"), "sig")
     return dealt.mapInArrow(lambda it: _blocks(it, search), "u long, v long")
 
 
+def row_key(docs: DataFrame) -> DataFrame:
+    """docs with rk, by which a text is found again: the doc_id, or a hash of the text of a row without one."""
+    return docs.withColumn("rk", F.coalesce(F.col("doc_id"), F.xxhash64("text")))
+
+
 def prints(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
-    """(doc_id, n, sig, prefix, keys): set size, set signature, the smallest members, minimum hashes."""
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(lambda it: _prints(it, percent, k), "doc_id long, n long, sig long, prefix array<long>, keys array<long>")
-
-
-def gather_copies(docs: DataFrame, own: DataFrame, percent: int, k: int) -> DataFrame:
-    """Links (u, v) between signatures that share a minimum hash, found by searching blocks of such documents."""
-    reps = own.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min_by("keys", "doc_id").alias("keys"), F.min("n").alias("n"))
-    keyed = reps.select("sig", "doc_id", "n", F.posexplode("keys").alias("k", "key"))
-    shared = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).where("rows > 1")
-    rows = salted_lookup(prefilter(keyed, ["k", "key"], shared), shared, ["k", "key"], "rows", ["sig"])
-    chunk = F.pmod(F.xxhash64("sig", "k"), F.ceil(F.col("total") / BLOCK))
-    wanted = rows.groupBy("doc_id", "sig").agg(F.collect_list(F.xxhash64("k", "key", chunk)).alias("blocks"))
-    sets = fetch_texts(docs, wanted).mapInArrow(_sets(k, ["sig", "blocks"]), "sig long, blocks array<long>, members array<long>")
-    return _search(
-        sets.select("sig", "members", F.explode("blocks").alias("block")),
-        lambda rows: _leaders([(sig, x.tolist()) for sig, x in rows], percent),
-    )
+    """docs without text, plus (n, s1, s2, prefix, keys): set size, set signature, smallest members, minimum hashes."""
+    rest = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    return docs.mapInArrow(lambda it: _prints(it, percent, k), f"{rest}, n long, s1 long, s2 long, prefix array<long>, keys array<long>")
+
+
+def named(own: DataFrame) -> DataFrame:
+    """own with sig, one long for each signature: its first half, but a hash of both where that half is seen to serve two."""
+    clash = own.groupBy("s1").agg(F.min("s2").alias("a"), F.max("s2").alias("b")).where("a < b")
+    words = materialize(bitmap(clash, ["s1"], 16), "jaccard-clash")
+    return maybe_in(own, ["s1"], words, 16).withColumn("sig", F.when(F.col("_maybe"), F.xxhash64("s1", "s2")).otherwise(F.col("s1"))).drop("_maybe")
+
+
+def gather_copies(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between sets that share a minimum hash, found by searching blocks of such sets.
+
+    In a group cut into chunks, the sets that linked to none meet again in new chunks, until a round is of no use. A link
+    leads from the later set by (size, signature) to the earlier, so some set of each component always goes on.
+    """
+    keyed = reps.select("sig", "s1", "s2", "rk", "n", F.posexplode("keys").alias("k", "key"))
+    links, count = None, None
+    for turn in range(64):
+        shared = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).where("rows > 1")
+        shared = materialize(shared, "jaccard-shared")
+        rows = salted_lookup(prefilter(keyed, ["k", "key"], shared), shared, ["k", "key"], "rows", ["sig"])
+        chunk = F.pmod(F.xxhash64(F.lit(turn), "sig", "k"), F.ceil(F.col("total") / BLOCK))
+        wanted = rows.groupBy("rk", "sig", "s1", "s2").agg(F.collect_list(F.xxhash64("k", "key", chunk)).alias("blocks"))
+        sets = fetch_texts(docs, wanted, "rk").mapInArrow(_sets(k, ["sig", "blocks"]), "sig long, blocks array<long>, members array<long>")
+        found = _search(sets.select("sig", "members", F.explode("blocks").alias("block")), lambda rows: _leaders([(sig, x.tolist()) for sig, x in rows], percent))
+        found = materialize(found, "jaccard-near")
+        links = found if links is None else links.unionByName(found)
+        wide = shared.where(F.col("total") > BLOCK)
+        if wide.isEmpty():
+            break
+        again = salted_lookup(prefilter(keyed, ["k", "key"], wide), wide.select("k", "key", "rows"), ["k", "key"], "rows", ["sig"]).drop("rows")
+        keyed = materialize(again.join(found.select(F.col("u").alias("sig")).distinct(), "sig", "left_anti"), "jaccard-again")
+        before, count = count, keyed.count()
+        if not count or (before is not None and count > 0.5 * before):
+            break
+    return links
 
 
 def _apart(rows: DataFrame) -> DataFrame:
@@ -288,29 +329,48 @@ def _covered(sets: DataFrame, percent: int) -> DataFrame:
     twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("h")
     seen = maybe_in(rows, ["h"], bitmap(twice, ["h"], 24), 24).groupBy("sig", "n").agg(F.sum(F.col("_maybe").cast("long")).alias("c"))
     enough = materialize(seen.where(F.expr(f"100 * c >= {percent} * n")).select("sig"), "jaccard-enough")
-    return materialize(prefilter(sets, ["sig"], enough).join(enough, "sig", "left_semi"), "jaccard-covered")
+    return materialize(prefilter(sets, ["sig"], enough).join(enough, "sig", "left_semi"), "jaccard-covered", done=(sets, enough))
+
+
+def _dealt(rare: DataFrame, groups: DataFrame) -> DataFrame:
+    """(sig, block, side, pair): the blocks in which each set of groups (sig, n, grp) is searched.
+
+    A group is a block, or so many chunks of which every two meet. Beyond CHUNKS of them its sets are dealt by their
+    rare members (sig, h) instead, as a linked pair shares one; then only the sets of one rare member can need chunks, and
+    the copies of a set are no more than its rare members, whatever the size of the group.
+    """
 
+    def sized(rows: DataFrame, keys: list[str]) -> DataFrame:
+        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+        return salted_lookup(rows, sizes, keys, "size", ["sig"]).drop("size").withColumn("q", F.ceil(F.col("total") / BLOCK).cast("int"))
 
-def search_rest(docs: DataFrame, own: DataFrame, comps: DataFrame, percent: int, k: int) -> DataFrame:
+    rows = sized(groups, ["grp"])
+    whole = rows.where(F.col("q") <= CHUNKS).withColumn("h", F.lit(0).cast("long"))
+    wide = rows.where(F.col("q") > CHUNKS).select("sig", "n", "grp").join(rare, "sig")
+    placed = whole.unionByName(sized(wide, ["grp", "h"]))
+    placed = placed.withColumn("c", F.pmod(F.xxhash64("sig"), F.col("q")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, q - 1)")))
+    block = F.xxhash64("grp", "h", F.least("c", "o"), F.greatest("c", "o"))
+    return placed.select("sig", block.alias("block"), (F.col("c") <= F.col("o")).cast("int").alias("side"), (F.col("c") != F.col("o")).alias("pair"))
+
+
+def search_rest(docs: DataFrame, own: DataFrame, reps: DataFrame, comps: DataFrame, percent: int, k: int) -> DataFrame:
     """Links between different components: none is lost.
 
-    A linked pair shares at least extra() members of its prefixes and least() of its sets, so documents with fewer
-    members that another component has are out. Those left are searched in blocks: components of the graph of
-    documents and their rarest common members, so that a common passage joins none; large ones are cut into chunks of
-    which every two meet.
+    A linked pair shares at least extra() members of its prefixes and least() of its sets, so sets with fewer members that
+    another component has are out. Those left are searched in blocks: components of the graph of sets and their rarest
+    common members, so that a common passage joins none.
     """
-    posts = own.where("sig is not null").select("sig", "n", F.explode("prefix").alias("h"))
+    posts = own.select("sig", "n", F.explode("prefix").alias("h"))
     several = materialize(posts.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "jaccard-lists")
     posts = salted_lookup(prefilter(posts, ["h"], several.select("h"), 24), several, ["h"], "df", ["sig"]).select("h", "sig", "n").distinct()
     names = comps.withColumnRenamed("node", "sig")
     label = F.coalesce("comp", "sig").alias("comp")
-    posts = materialize(posts.join(names, "sig", "left").select("h", "sig", "n", label), "jaccard-prefixes")
+    posts = materialize(posts.join(names, "sig", "left").select("h", "sig", "n", label), "jaccard-prefixes", done=(several,))
     floor = F.expr(f"greatest(1L, cast(ceil({percent} * n / 100) as long) div 20)")
     left = _apart(posts).groupBy("sig", "n", "comp").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= floor)
-    reps = own.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    left = materialize(left.join(reps, "sig").select("doc_id", "sig", "n", "comp"), "jaccard-left")
-    sets = fetch_texts(docs, left).mapInArrow(_sets(k, ["sig", "n", "comp"]), "sig long, n long, comp long, members array<long>")
-    sets = _covered(materialize(sets, "jaccard-sets"), percent)
+    left = materialize(left.select("sig", "comp").join(reps.select("sig", "s1", "s2", "rk", "n"), "sig"), "jaccard-left", done=(posts,))
+    sets = fetch_texts(docs, left, "rk").mapInArrow(_sets(k, ["sig", "n", "comp"]), "sig long, n long, comp long, members array<long>").dropDuplicates(["sig"])
+    sets = _covered(materialize(sets, "jaccard-sets", done=(left,)), percent)
     full = _apart(sets.select("sig", "n", "comp", F.explode("members").alias("h"))).select("h", "sig", "n", "df")
     full = materialize(full, "jaccard-full")
     enough = full.groupBy("sig", "n").agg(F.count(F.lit(1)).alias("c")).where(F.expr(f"100 * c >= {percent} * n")).drop("n")
@@ -318,23 +378,39 @@ def search_rest(docs: DataFrame, own: DataFrame, comps: DataFrame, percent: int,
     by = Window.partitionBy("sig").orderBy("df", "h")
     rare = full.join(enough, "sig").withColumn("at", F.row_number().over(by))
     rare = rare.where(F.expr(f"at <= c - cast(ceil({percent} * n / 100) as long) + 1")).select("h", "sig")
-    rare = materialize(rare, "jaccard-rare")
+    rare = materialize(rare, "jaccard-rare", done=(full,))
     hubs = rare.groupBy("h").agg(F.min("sig").alias("hub"), F.count(F.lit(1)).alias("df"))
     groups = connected_components(salted_lookup(rare, hubs, ["h"], "df", ["sig"]).select(F.col("sig").alias("u"), F.col("hub").alias("v")), "jaccard-blocks")
-    groups = groups.toDF("sig", "grp").join(sets.select("sig", "n"), "sig")
-    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
-    placed = salted_lookup(groups, sizes, ["grp"], "size", ["sig"])
-    chunks = F.ceil(F.col("total") / BLOCK).cast("int")
-    placed = placed.select("sig", "grp", chunks.alias("q"), F.pmod(F.xxhash64("sig"), chunks).cast("int").alias("c"))
-    placed = placed.select("sig", "grp", "q", "c", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("o"))
-    block = F.xxhash64("grp", F.least("c", "o"), F.greatest("c", "o"))
-    placed = placed.select("sig", block.alias("block"), (F.col("c") <= F.col("o")).cast("int").alias("side"), (F.col("c") != F.col("o")).alias("pair"))
+    placed = _dealt(rare, groups.toDF("sig", "grp").join(sets.select("sig", "n"), "sig"))
     rows = sets.join(placed, "sig").select("sig", "comp", "side", "pair", "members", "block")
 
     def search(rows):
         return _across([(sig, x.tolist(), comp, side) for sig, comp, side, _, x in rows], percent, bool(rows) and rows[0][3])
 
-    return _search(rows, search)
+    return materialize(_search(rows, search), "jaccard-rest", done=(sets, rare, groups))
+
+
+def jaccard_rows(docs: DataFrame, carry: Sequence[str] = (), percent: int = PERCENT, k: int = WORDS) -> DataFrame:
+    """(carry, doc_id, n_shingles, component_id, comp) of each row of docs (doc_id, text, carry): jaccard_components() with
+    columns that go along, their names none of its own, and the component itself: null for a set without members."""
+    docs = row_key(docs.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    own = materialize(prints(docs, percent, k), "jaccard-prints")
+    some = named(own.where("s1 is not null"))
+    best = [F.min_by(c, "rk").alias(c) for c in ("s1", "s2", "n", "keys")]
+    reps = materialize(some.groupBy("sig").agg(F.min("rk").alias("rk"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_rows"), *best), "jaccard-sigs")
+    texts = docs.select("rk", "text")
+    near = gather_copies(texts, reps, k, percent)
+    comps = connected_components(near, "jaccard-comps")
+    rest = search_rest(texts, some, reps, comps, percent, k)
+    release(comps)
+    comps = connected_components(near.unionByName(rest), "jaccard-comps")
+    sigs = reps.select("sig", "first", "n_rows").join(comps.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
+    firsts = sigs.groupBy("comp").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n_sigs"))
+    sigs = materialize(salted_lookup(sigs, firsts, ["comp"], "n_sigs", ["sig"]).select("sig", "comp", "component_id", "n_rows"), "jaccard-names", done=(reps, comps))
+    found = salted_lookup(some.select(*carry, "doc_id", "rk", "n", "sig"), sigs, ["sig"], "n_rows", ["rk"])
+    columns = [*carry, "doc_id", F.col("n").alias("n_shingles")]
+    none = own.where("s1 is null").select(*columns, F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp"))
+    return found.select(*columns, "component_id", "comp").unionByName(none)
 
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = WORDS) -> DataFrame:
@@ -343,23 +419,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = WORDS)
     Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct k-word shingles, or
     the whole sequence if shorter. Two documents link at 100 * intersection >= percent * union; component_id is the
     smallest doc_id reachable. Null, empty and blank texts have 0 shingles and their own component. Equal sets are one
-    class, so copies are never expanded into pairs; rows repeating a doc_id each get a row; rows of null doc_id are
-    left out. Other columns are ignored. Members are compared as 64-bit hashes.
+    class, so copies are never expanded into pairs; rows that share a doc_id are judged each by its own text, and a row of
+    null doc_id links like others: its component_id is null if no row of its component has an id. Other columns are
+    ignored. Words are hashed whole to 128 bits under a key, sets are equal if 128-bit signatures over both halves of
+    their members are, and overlaps of unequal sets are counted by the first halves.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = materialize(prints(docs, percent, k), "jaccard-prints")
-    near = materialize(gather_copies(docs, own, percent, k), "jaccard-near")
-    comps = materialize(connected_components(near), "jaccard-comps")
-    rest = materialize(search_rest(docs, own, comps, percent, k), "jaccard-rest")
-    comps = materialize(connected_components(near.union(rest)), "jaccard-comps")
-    names = comps.withColumnRenamed("node", "sig")
-    sigs = own.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n_rows"))
-    sigs = sigs.join(names, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    firsts = sigs.groupBy("comp").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n_sigs"))
-    sigs = salted_lookup(sigs, firsts, ["comp"], "n_sigs", ["sig"]).select("sig", "component_id", "n_rows")
-    found = salted_lookup(own.where("sig is not null").select("doc_id", "n", "sig"), sigs, ["sig"], "n_rows", ["doc_id"])
-    found = found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return found.unionByName(own.where("sig is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return jaccard_rows(docs, (), percent, k).drop("comp")
 
 
 QUERY_SQL = r"""

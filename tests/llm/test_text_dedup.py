@@ -108,21 +108,46 @@ def brute_components(rows):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("size", [1 << 20, 300])
-def test_jaccard_components_are_brute_force(spark, docs, monkeypatch, size):
+@pytest.mark.parametrize("size, chunks", [(1 << 20, 8), (300, 8), (300, 1)])
+def test_jaccard_components_are_brute_force(spark, docs, monkeypatch, size, chunks):
     monkeypatch.setattr("tarnlink.llm.ngram_join.BLOCK", size)
+    monkeypatch.setattr("tarnlink.llm.ngram_join.CHUNKS", chunks)
     got = {r[0]: tuple(r)[1:] for r in jaccard_components(docs).collect()}
     want = brute_components([(r.doc_id, r.text) for r in docs.collect()])
     assert got == want
     assert len({c for _, c in got.values()}) < len(got) - 4
 
 
-def test_exact_level_finds_what_gathering_missed(spark, docs, monkeypatch):
+@pytest.mark.parametrize("size, chunks", [(1 << 20, 8), (400, 1)])
+def test_exact_level_finds_what_gathering_missed(spark, docs, monkeypatch, size, chunks):
+    monkeypatch.setattr("tarnlink.llm.ngram_join.BLOCK", size)
+    monkeypatch.setattr("tarnlink.llm.ngram_join.CHUNKS", chunks)
     monkeypatch.setattr("tarnlink.llm.ngram_join._leaders", lambda sets, percent: [])
     got = {r[0]: tuple(r)[1:] for r in jaccard_components(docs).collect()}
     assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_words_that_polynomials_confuse_and_odd_ids(spark):
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, word), (2, other), (None, long), (7, long + " more"), (7, "else here"), (None, "alone it is"), (None, None), (9, "else here"), (8, "alone it was"), (8, "alone it was")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(map(tuple, got.collect()), key=str)
+    assert got == sorted([(1, 1, 1), (2, 1, 2), (None, 56, 7), (7, 57, 7), (7, 1, 7), (None, 1, None), (None, 0, None), (9, 1, 7), (8, 1, 8), (8, 1, 8)], key=str)
+
+
+def test_merge_skips_no_set():
+    r = random.Random(8)
+    for _ in range(200):
+        lists = [sorted(r.sample(range(40), r.randrange(1, 30))) for _ in range(r.randrange(1, 12))]
+        for least in range(1, len(lists) + 1):
+            want = [(x, n) for x in range(40) if (n := sum(x in own for own in lists)) >= least]
+            assert list(Searcher.merge(lists, least)) == want
+
+
 def test_searcher_is_exact():
     r = random.Random(5)
     sets = [sorted(r.sample(range(30), r.randrange(1, 24))) for _ in range(300)]
@@ -183,5 +208,5 @@ def test_empty_tables_and_null_ids(spark, tmp_path):
     odd.write.parquet(str(tmp_path / "o.parquet"))
     assert sorted((r.doc_id or 0, r.group_size) for r in exact_dedup(spark, str(tmp_path / "o.parquet")).collect()) == [(0, 1), (4, 2), (4, 2)]
     assert sorted(r.n_removed for r in line_dedup(odd).collect()) == [0, 0, 0]
-    assert sorted((r.doc_id, r.component_id) for r in jaccard_components(odd).collect()) == [(4, 4), (4, 4)]
+    assert sorted((r.doc_id or 0, r.component_id) for r in jaccard_components(odd).collect()) == [(0, None), (4, 4), (4, 4)]
     assert remove_repeats(odd).count() == 3
