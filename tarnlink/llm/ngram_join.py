@@ -7,7 +7,7 @@ import math
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ PERCENT, WORDS = 80, 5
 #: The members of all sets that are searched in one block, about; larger groups are cut into chunks.
 BLOCK = 1 << 15
 #: A group of more chunks than this is dealt by the rare members of its sets instead.
-CHUNKS = 8
+CHUNKS = 4
 #: Multipliers of the independent minimum hashes that gather near copies first.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -121,8 +121,8 @@ class Searcher:
     The cost of a search follows the lists of its own members, not the number of sets added.
     """
 
-    def __init__(self, percent: int = PERCENT, weight: float = 4.0):
-        self.percent, self.weight, self.lists, self.sizes = percent, weight, {}, []
+    def __init__(self, percent: int = PERCENT):
+        self.percent, self.lists, self.sizes = percent, {}, []
 
     def add(self, members: list[int]) -> int:
         k = len(self.sizes)
@@ -161,6 +161,25 @@ class Searcher:
                 if at[i] < len(own):
                     heappush(heap, own[at[i]] * many + i)
 
+    @staticmethod
+    def divide(lengths: list[int], t: int) -> int:
+        """How many lists, by ascending length, are merged if sets in t of them are sought; the others are probed.
+
+        Merging costs the entries of the short lists; at most every (t - long)-th of them is a candidate, and one that
+        does not reach t ends after few probes.
+        """
+        entries, best = [0, *accumulate(lengths)], (math.inf, 0)
+        probe = 4 * math.log2(lengths[-1] + 1)
+        spare = 1
+        while True:
+            spare = min(spare, t)
+            short = len(lengths) - t + spare
+            cost = entries[short] * (1 + math.log2(short) / 4) + entries[short] / spare * probe
+            best = min(best, (cost, short))
+            if spare == t:
+                return best[1]
+            spare *= 2
+
     def search(self, members: list[int]) -> list[int]:
         """Indexes of all added sets that link to this one, ascending."""
         n = len(members)
@@ -169,9 +188,9 @@ class Searcher:
         if len(found) < t or not t:
             return []
         found.sort(key=len)
-        longest = len(found[-1])
-        n_long = min(t - 1, int(t / (self.weight * math.log2(longest) + 1))) if longest > 1 else 0
-        short, long = found[: len(found) - n_long], found[len(found) - n_long :]
+        at = self.divide([len(x) for x in found], t)
+        short, long = found[:at], found[at:]
+        n_long = len(long)
         out = []
         for x, count in self.merge(short, t - n_long):
             for left, own in zip(range(n_long, 0, -1), long, strict=True):
