@@ -21,8 +21,6 @@ from .common import bitmap, connected_components, fetch_texts, materialize, mayb
 PERCENT, WORDS = 80, 5
 #: The members of all sets that are searched in one block, about; larger groups are cut into chunks.
 BLOCK = 1 << 15
-#: A group of more chunks than this is dealt by the rare members of its sets instead.
-CHUNKS = 4
 #: Multipliers of the independent minimum hashes that gather near copies first.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -180,8 +178,8 @@ class Searcher:
                 return best[1]
             spare *= 2
 
-    def search(self, members: list[int]) -> list[int]:
-        """Indexes of all added sets that link to this one, ascending."""
+    def search(self, members: list[int], wanted: Callable[[int], bool] = lambda x: True) -> list[int]:
+        """Indexes of all added sets that link to this one and are wanted, ascending."""
         n = len(members)
         t = least(n, self.percent)
         found = [x for x in map(self.lists.get, members) if x]
@@ -193,6 +191,8 @@ class Searcher:
         n_long = len(long)
         out = []
         for x, count in self.merge(short, t - n_long):
+            if not wanted(x):
+                continue
             for left, own in zip(range(n_long, 0, -1), long, strict=True):
                 if count + left < t:
                     break
@@ -203,23 +203,45 @@ class Searcher:
         return out
 
 
-def _leaders(sets: list[tuple[int, list[int]]], percent: int) -> list[tuple[int, int]]:
-    """A forest of links: each set is searched among the leaders, those that linked to none before."""
+def _central(sets: list[np.ndarray]) -> np.ndarray:
+    """An order of sets: those first whose members the most sets of the block hold, on average."""
+    _, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    lengths = np.array([len(x) for x in sets])
+    return np.argsort(-np.add.reduceat(counts[which], np.cumsum(lengths) - lengths) / lengths, kind="stable")
+
+
+def _leaders(sets: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """A forest of links: each set is searched among the leaders, those that linked to none before; a leader is given as a
+    link to itself. The sets in the middle of a group of copies come first, so most of the group has one leader."""
+    if not sets:
+        return []
     index, ids, out = Searcher(percent), [], []
-    for sig, members in sets:
+    for i in _central([x for _, x in sets]).tolist():
+        sig, members = sets[i][0], sets[i][1].tolist()
         links = index.search(members)
         out += [(sig, ids[x]) for x in links]
         if not links:
             index.add(members)
             ids.append(sig)
+            out.append((sig, sig))
     return out
 
 
 def _across(sets: list[tuple[int, list[int], int, int]], percent: int, sides: bool) -> list[tuple[int, int]]:
-    """All links between sets of different components; with sides, those between the two sides of a block pair."""
-    index, ids, out = Searcher(percent), [], []
+    """Links between sets of different components, enough to join all components that link in this block; with sides, of
+    links between the two sides of a block pair."""
+    index, ids, out, parent = Searcher(percent), [], [], {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
     for sig, members, comp, side in sets:
-        out += [(sig, ids[x][0]) for x in index.search(members) if ids[x][1] != comp and not (sides and ids[x][2] == side)]
+        own = root(comp)
+        for x in index.search(members, lambda x: not (sides and ids[x][2] == side) and root(ids[x][1]) != own):  # noqa: B023
+            out.append((sig, ids[x][0]))
+            parent[root(ids[x][1])] = root(comp)
         index.add(members)
         ids.append((sig, comp, side))
     return out
@@ -264,28 +286,33 @@ def _sets(k: int, columns: list[str]):
 
 def _blocks(batches: Iterator[pa.RecordBatch], search) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by block; search(rows of one block) gives links."""
+
+    def links(block: int | None, rows: list) -> pa.RecordBatch:
+        found = search(rows)
+        cols = [pa.array([block] * len(found), pa.int64()), *(pa.array([x[i] for x in found], pa.int64()) for i in (0, 1))]
+        return pa.RecordBatch.from_arrays(cols, ["block", "u", "v"])
+
     block, rows = None, []
     for b in batches:
         names = b.schema.names
         cols = {x: b.column(i) for i, x in enumerate(names)}
-        blocks = cols["block"].to_pylist()
         meta = [cols[x].to_pylist() for x in names if x not in ("block", "members")]
         out = []
-        for i, own in enumerate(blocks):
+        for i, own in enumerate(cols["block"].to_pylist()):
             if own != block:
-                out += search(rows)
+                out.append(links(block, rows))
                 block, rows = own, []
             rows.append((*(x[i] for x in meta), cols["members"][i].values.to_numpy()))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["u", "v"])
-    if out := search(rows):
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["u", "v"])
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+    yield links(block, rows)
 
 
 def _search(blocks: DataFrame, search: Callable) -> DataFrame:
+    """(block, u, v): the links found in each block."""
     n = partitions(blocks.sparkSession)
     dealt = blocks.repartition(n, "block").sortWithinPartitions("block", F.size("members"), "sig")
-    return dealt.mapInArrow(lambda it: _blocks(it, search), "u long, v long")
+    return dealt.mapInArrow(lambda it: _blocks(it, search), "block long, u long, v long")
 
 
 def row_key(docs: DataFrame) -> DataFrame:
@@ -309,30 +336,26 @@ def named(own: DataFrame) -> DataFrame:
 def gather_copies(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (u, v) between sets that share a minimum hash, found by searching blocks of such sets.
 
-    In a group cut into chunks, the sets that linked to none meet again in new chunks, until a round is of no use. A link
-    leads from the later set by (size, signature) to the earlier, so some set of each component always goes on.
+    In a group cut into chunks, the leaders of all chunks meet again in new chunks, until a round is of no use.
     """
-    keyed = reps.select("sig", "s1", "s2", "rk", "n", F.posexplode("keys").alias("k", "key"))
-    links, count = None, None
+    keyed, links, count = reps.select("sig", "s1", "s2", "rk", "n", F.posexplode("keys").alias("k", "key")), None, None
     for turn in range(64):
         shared = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).where("rows > 1")
         shared = materialize(shared, "jaccard-shared")
         rows = salted_lookup(prefilter(keyed, ["k", "key"], shared), shared, ["k", "key"], "rows", ["sig"])
         chunk = F.pmod(F.xxhash64(F.lit(turn), "sig", "k"), F.ceil(F.col("total") / BLOCK))
-        wanted = rows.groupBy("rk", "sig", "s1", "s2").agg(F.collect_list(F.xxhash64("k", "key", chunk)).alias("blocks"))
+        rows = rows.withColumn("block", F.xxhash64("k", "key", chunk))
+        wanted = rows.groupBy("rk", "sig", "s1", "s2").agg(F.collect_list("block").alias("blocks"))
         sets = fetch_texts(docs, wanted, "rk").mapInArrow(_sets(k, ["sig", "blocks"]), "sig long, blocks array<long>, members array<long>")
-        found = _search(sets.select("sig", "members", F.explode("blocks").alias("block")), lambda rows: _leaders([(sig, x.tolist()) for sig, x in rows], percent))
-        found = materialize(found, "jaccard-near")
+        found = materialize(_search(sets.select("sig", "members", F.explode("blocks").alias("block")), lambda rows: _leaders(rows, percent)), "jaccard-near")
         links = found if links is None else links.unionByName(found)
-        wide = shared.where(F.col("total") > BLOCK)
-        if wide.isEmpty():
-            break
-        again = salted_lookup(prefilter(keyed, ["k", "key"], wide), wide.select("k", "key", "rows"), ["k", "key"], "rows", ["sig"]).drop("rows")
-        keyed = materialize(again.join(found.select(F.col("u").alias("sig")).distinct(), "sig", "left_anti"), "jaccard-again")
+        leaders = found.where("u = v").select(F.col("u").alias("sig"), "block")
+        again = rows.where(F.col("total") > BLOCK).select("sig", "s1", "s2", "rk", "n", "k", "key", "block").join(leaders, ["sig", "block"], "left_semi")
+        keyed = materialize(again.drop("block"), "jaccard-again")
         before, count = count, keyed.count()
         if not count or (before is not None and count > 0.5 * before):
             break
-    return links
+    return links.select("u", "v").where("u <> v")
 
 
 def _apart(rows: DataFrame) -> DataFrame:
@@ -354,18 +377,20 @@ def _covered(sets: DataFrame, percent: int) -> DataFrame:
 def _dealt(rare: DataFrame, groups: DataFrame) -> DataFrame:
     """(sig, block, side, pair): the blocks in which each set of groups (sig, n, grp) is searched.
 
-    A group is a block, or so many chunks of which every two meet. Beyond CHUNKS of them its sets are dealt by their
-    rare members (sig, h) instead, as a linked pair shares one; then only the sets of one rare member can need chunks, and
-    the copies of a set are no more than its rare members, whatever the size of the group.
+    A group is a block, or so many chunks of which every two meet. If that copies its sets more often than they have rare
+    members (h, sig), they are dealt by these instead, as a linked pair shares one; then only the sets of one rare member
+    can need chunks, and a set is copied as often as it has rare members, whatever the size of the group.
     """
 
     def sized(rows: DataFrame, keys: list[str]) -> DataFrame:
-        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
+        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("rares")).alias("copies"))
         return salted_lookup(rows, sizes, keys, "size", ["sig"]).drop("size").withColumn("q", F.ceil(F.col("total") / BLOCK).cast("int"))
 
-    rows = sized(groups, ["grp"])
-    whole = rows.where(F.col("q") <= CHUNKS).withColumn("h", F.lit(0).cast("long"))
-    wide = rows.where(F.col("q") > CHUNKS).select("sig", "n", "grp").join(rare, "sig")
+    rares = rare.groupBy("sig").agg(F.count(F.lit(1)).alias("rares"))
+    rows = sized(groups.join(rares, "sig"), ["grp"])
+    few = F.col("q") * F.col("total") <= F.col("copies")
+    whole = rows.where((F.col("q") == 1) | few).withColumn("h", F.lit(0).cast("long"))
+    wide = rows.where((F.col("q") > 1) & ~few).select("sig", "n", "grp", "rares").join(rare, "sig")
     placed = whole.unionByName(sized(wide, ["grp", "h"]))
     placed = placed.withColumn("c", F.pmod(F.xxhash64("sig"), F.col("q")).cast("int")).withColumn("o", F.explode(F.expr("sequence(0, q - 1)")))
     block = F.xxhash64("grp", "h", F.least("c", "o"), F.greatest("c", "o"))
@@ -406,7 +431,7 @@ def search_rest(docs: DataFrame, own: DataFrame, reps: DataFrame, comps: DataFra
     def search(rows):
         return _across([(sig, x.tolist(), comp, side) for sig, comp, side, _, x in rows], percent, bool(rows) and rows[0][3])
 
-    return materialize(_search(rows, search), "jaccard-rest", done=(sets, rare, groups))
+    return materialize(_search(rows, search).select("u", "v"), "jaccard-rest", done=(sets, rare, groups))
 
 
 def jaccard_rows(docs: DataFrame, carry: Sequence[str] = (), percent: int = PERCENT, k: int = WORDS) -> DataFrame:

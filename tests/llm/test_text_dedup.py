@@ -108,20 +108,18 @@ def brute_components(rows):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("size, chunks", [(1 << 20, 8), (300, 8), (300, 1)])
-def test_jaccard_components_are_brute_force(spark, docs, monkeypatch, size, chunks):
+@pytest.mark.parametrize("size", [1 << 20, 300])
+def test_jaccard_components_are_brute_force(spark, docs, monkeypatch, size):
     monkeypatch.setattr("tarnlink.llm.ngram_join.BLOCK", size)
-    monkeypatch.setattr("tarnlink.llm.ngram_join.CHUNKS", chunks)
     got = {r[0]: tuple(r)[1:] for r in jaccard_components(docs).collect()}
     want = brute_components([(r.doc_id, r.text) for r in docs.collect()])
     assert got == want
     assert len({c for _, c in got.values()}) < len(got) - 4
 
 
-@pytest.mark.parametrize("size, chunks", [(1 << 20, 8), (400, 1)])
-def test_exact_level_finds_what_gathering_missed(spark, docs, monkeypatch, size, chunks):
+@pytest.mark.parametrize("size", [1 << 20, 400, 30])
+def test_exact_level_finds_what_gathering_missed(spark, docs, monkeypatch, size):
     monkeypatch.setattr("tarnlink.llm.ngram_join.BLOCK", size)
-    monkeypatch.setattr("tarnlink.llm.ngram_join.CHUNKS", chunks)
     monkeypatch.setattr("tarnlink.llm.ngram_join._leaders", lambda sets, percent: [])
     got = {r[0]: tuple(r)[1:] for r in jaccard_components(docs).collect()}
     assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()])
