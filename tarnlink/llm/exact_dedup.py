@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fetch_texts, materialize, salted_lookup, scratch_path
+from .common import materialize, prefilter, release, salted_lookup, scratch_path
 
 SPACE = b" \t\n\x0b\x0c\r"
 STATE = {
@@ -29,8 +29,12 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+#: Where the content of a row stands: its file, and its place there.
+LOCATOR = "struct(_metadata.file_path as file, _metadata.row_index as row) as locator"
+
+
 def fingerprints(docs: DataFrame, digest=sha256, keep_text: bool = False) -> DataFrame:
-    """(others, n_points, digest[, norm]) of each row; text is replaced."""
+    """(others, n_points, digest, text_sha256[, norm]) of each row; text is replaced."""
     rest = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,15 +42,16 @@ def fingerprints(docs: DataFrame, digest=sha256, keep_text: bool = False) -> Dat
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             norms = [normalise(x) for x in texts]
             cols = [b.column(b.schema.get_field_index(f.name)) for f in rest]
-            cols += [pa.array([len(x or "") for x in texts], pa.int64()), pa.array(map(digest, norms), pa.string())]
-            names = [*(f.name for f in rest), "n_points", "digest"]
+            sums = pa.array(map(sha256, norms), pa.string())
+            cols += [pa.array([len(x or "") for x in texts], pa.int64()), sums if digest is sha256 else pa.array(map(digest, norms), pa.string()), sums]
+            names = [*(f.name for f in rest), "n_points", "digest", "text_sha256"]
             if keep_text:
                 cols.append(pa.array(norms, pa.binary()))
                 names.append("norm")
             yield pa.RecordBatch.from_arrays(cols, names)
 
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rest]
-    return docs.mapInArrow(run, ", ".join([*kinds, "n_points long", "digest string", *(["norm binary"] * keep_text)]))
+    return docs.mapInArrow(run, ", ".join([*kinds, "n_points long", "digest string", "text_sha256 string", *(["norm binary"] * keep_text)]))
 
 
 class DedupStream:
@@ -68,7 +73,7 @@ class DedupStream:
             path = path.rstrip("/")
             # as a pattern, since a stream takes one file only that way
             rows = self.spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
-            rows = rows.select("doc_id", "text", F.col("_metadata.file_path").alias("locator"))
+            rows = rows.selectExpr("doc_id", "text", LOCATOR)
             state = fingerprints(rows, self.digest).groupBy("digest").agg(
                 F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("rid"), "locator")).alias("best"),
                 F.count(F.lit(1)).alias("group_size"),
@@ -88,42 +93,41 @@ class DedupStream:
 
     def groups(self) -> DataFrame:
         """(digest, keep_id, locator, group_size): the last update of each digest has the largest count."""
-        schema = "digest string, best struct<n_points: long, rid: long, locator: string>, group_size long, batch long"
+        schema = "digest string, best struct<n_points: long, rid: long, locator: struct<file: string, row: long>>, group_size long, batch long"
         last = self.spark.read.schema(schema).option("recursiveFileLookup", "false").parquet(f"{self.where}/log")
         last = last.groupBy("digest").agg(F.max_by("best", "group_size").alias("best"), F.max("group_size").alias("group_size"))
         return last.select("digest", F.bitwise_not("best.rid").alias("keep_id"), "best.locator", "group_size")
 
 
 def exact_dedup(spark: SparkSession, path: str, digest=sha256) -> DataFrame:
-    """One row per document of the Parquet data at path (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of the Parquet data at path (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if identical without ASCII white space; the row with the most code points, then the smallest
     doc_id, stays. Null text counts as empty, all empty texts are one group, and a null doc_id loses every tie. Rows
-    that repeat a doc_id and its text are one document: each counts in group_size and all share the verdict. An empty
-    table gives no rows; other columns are ignored. Hits are compared byte by byte with the row that stays; a digest
-    under which texts differ is grouped again by the bytes.
+    that repeat a doc_id and its text are one document: each counts in group_size and all share the verdict; rows of one
+    doc_id with different texts are judged each by its own. An empty table gives no rows; other columns are ignored.
+    On a hit the content of the row that stays is fetched by its locator and compared byte by byte; the rows of a digest
+    under which texts differ are grouped again by the bytes.
     """
-    docs = spark.read.parquet(path).select("doc_id", "text")
+    docs = spark.read.parquet(path).selectExpr("doc_id", "text", LOCATOR)
     stream = DedupStream(spark, digest=digest)
-    stream.process(path, docs.schema)
-    groups = stream.groups().drop("locator")
-    own = fingerprints(docs, digest)
-    found = materialize(salted_lookup(own, groups, ["digest"], "group_size", ["doc_id"]), "dedup-verdict")
-    hits = found.where("group_size > 1 and doc_id is not null").select("doc_id", "n_points", "digest", "keep_id", "group_size").distinct()
-    texts = fingerprints(fetch_texts(docs, hits.select("doc_id", "keep_id", "group_size")).select("doc_id", "keep_id", "group_size", "text"), digest, True)
-    first = texts.where("doc_id = keep_id").select("digest", "group_size", F.col("norm").alias("kept_norm")).dropDuplicates(["digest"])
-    rest = texts.where("doc_id <> keep_id").select("digest", "doc_id", "norm")
-    bad = materialize(salted_lookup(rest, first, ["digest"], "group_size", ["doc_id"]).where("norm <> kept_norm").select("digest").distinct(), "dedup-collisions")
-    sha = F.col("digest") if digest is sha256 else F.lit(None).cast("string")
-    out = ["doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept")]
-    if digest is sha256 and bad.isEmpty():
-        return found.select(*out, sha.alias("text_sha256"))
-    again = fingerprints(docs, digest, True)
-    exact = again.groupBy("digest", "norm").agg(
-        F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("rid"))).alias("best"), F.count(F.lit(1)).alias("group_size")
-    ).select("digest", "norm", F.bitwise_not("best.rid").alias("keep_id"), "group_size")
-    sure = found.join(bad, "digest", "left_anti").select(*out[:3], "digest", "n_points")
-    torn = salted_lookup(again.join(bad, "digest", "left_semi"), exact.join(bad, "digest", "left_semi"), ["digest", "norm"], "group_size", ["doc_id"])
-    both = sure.unionByName(torn.select(*out[:3], "digest", "n_points"))
-    sums = fingerprints(docs, sha256).select("doc_id", F.col("digest").alias("text_sha256")).distinct()
-    return both.join(sums, "doc_id").select(*out, "text_sha256")
+    stream.process(path, docs.select("doc_id", "text").schema)
+    groups = materialize(stream.groups(), "dedup-groups")
+    several = groups.where("group_size > 1")
+    content = prefilter(fingerprints(docs, digest, True), ["digest"], several).select("doc_id", "locator", "n_points", "digest", "norm", "text_sha256")
+    stays = prefilter(content.select("locator", F.col("norm").alias("kept_norm")), ["locator"], several)
+    stays = stays.join(several.select("digest", "locator", "group_size").hint("shuffle_hash"), "locator").withColumnRenamed("locator", "kept_at")
+    hits = salted_lookup(content.select("locator", "digest", "norm"), stays, ["digest"], "group_size", ["locator"])
+    bad = materialize(hits.where("locator <> kept_at and norm <> kept_norm").select("digest").distinct(), "dedup-collisions")
+    own = fingerprints(docs.drop("locator"), digest)
+    found = salted_lookup(own, groups.select("digest", "keep_id", "group_size"), ["digest"], "group_size", ["doc_id"])
+    columns = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
+    if bad.isEmpty():
+        release(bad)
+        return found.select(*columns)
+    sure = found.join(bad, "digest", "left_anti")
+    torn = materialize(content.drop("locator").join(bad, "digest", "left_semi"), "dedup-torn")
+    exact = torn.groupBy("digest", "norm").agg(F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("rid"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    exact = exact.select("digest", "norm", F.bitwise_not("best.rid").alias("keep_id"), "group_size")
+    torn = salted_lookup(torn, exact, ["digest", "norm"], "group_size", ["doc_id"])
+    return sure.select(*columns).unionByName(torn.select(*columns))

@@ -172,6 +172,18 @@ def test_exact_dedup_is_brute_force(spark, docs, tmp_path, digest):
     assert got == brute_exact([(r.doc_id, r.text) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("digest", [None, lambda data: "x", lambda data: str(len(data) % 3)])
+def test_exact_dedup_of_null_and_repeated_ids(spark, tmp_path, digest):
+    rows = [(None, "a b"), (None, "zz"), (3, "ab"), (3, "other"), (3, "other"), (5, "a  b"), (6, None), (None, ""), (9, "a\tb\n"), (1, "oth er")]
+    spark.createDataFrame([(i, t, 1, t) for i, t in rows], "doc_id long, text string, digest int, locator string").repartition(2).write.parquet(str(tmp_path / "d.parquet"))
+    got = exact_dedup(spark, str(tmp_path / "d.parquet"), *([digest] if digest else [])).collect()
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    ab, other = (4, sha(b"ab")), (3, sha(b"other"))
+    want = [(None, 5, *ab), (3, 5, *ab), (5, 5, *ab), (9, 5, *ab), (3, 1, *other), (3, 1, *other), (1, 1, *other), (None, None, 1, sha(b"zz")), (6, 6, 2, sha(b"")), (None, 6, 2, sha(b""))]
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == sorted(want, key=str)
+    assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+
+
 def brute_lines(rows):
     seen, out = set(), {}
     for i, t in sorted(rows):
