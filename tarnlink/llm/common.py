@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key with more rows than this is salted over all shuffle partitions.
@@ -70,6 +70,39 @@ def release_scratch(spark: SparkSession) -> None:
     _delete(spark, f"{scratch_root(spark)}/tarnlink")
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def shield(docs: DataFrame, own: Sequence[str]) -> DataFrame:
+    """docs with its own columns first and all others as c0, c1, ..., so that no name of theirs can clash."""
+    rest = [c for c in docs.columns if c not in own]
+    return docs.select(*own, *(quoted(c).alias(f"c{i}") for i, c in enumerate(rest)))
+
+
+def unshield(rows: DataFrame, docs: DataFrame, own: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """rows of shield(docs, own) with the columns of docs by name and order, and then more."""
+    rest = iter(range(len(docs.columns)))
+    return rows.select(*(c if c in own else f"c{next(rest)}" for c in docs.columns), *more).toDF(*docs.columns, *more)
+
+
+def number_of(*parts: Column | str | int) -> Column:
+    """A whole number below 2**60 from an MD5 of the parts, the same in any SQL engine that has MD5."""
+    return F.conv(F.substring(digest_of(*parts), 1, 15), 16, 10).cast("long")
+
+
+def digest_of(*parts: Column | str | int) -> Column:
+    """The MD5 of the parts in hexadecimal, bars between."""
+    return F.md5(F.concat_ws("|", *(F.lit(x).cast("string") if isinstance(x, int) else F.col(x).cast("string") if isinstance(x, str) else x.cast("string") for x in parts)))
+
+
+def repeated(rows: DataFrame, count: str, index: str) -> DataFrame:
+    """Each row as often as count (1 or more) says, with its index from 0; no array has more than 4096 entries of a row."""
+    rows = rows.withColumn("_step", F.explode(F.expr(f"sequence(0L, `{count}` - 1L, 4096L)")))
+    return rows.withColumn(index, F.explode(F.expr(f"sequence(_step, least(_step + 4095L, `{count}` - 1L))"))).drop("_step")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

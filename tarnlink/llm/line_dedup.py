@@ -7,26 +7,30 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import bitmap, materialize, maybe_in, prefilter, salted_lookup
+from .common import bitmap, materialize, maybe_in, prefilter, salted_lookup, shield, unshield
 
 WINDOW = 3
+#: What names a document: rows of one doc_id with different texts are documents of their own, by a hash of the text.
+PLACE = ["doc_id", "t"]
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, h1, h2): a 128-bit hash of each three consecutive lines."""
+    """(doc_id, t, pos, h1, h2): a 128-bit hash of each three consecutive lines."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     three = F.arrays_zip(lines.alias("a"), F.slice(lines, 2, F.size(lines)).alias("b"), F.slice(lines, 3, F.size(lines)).alias("c"))
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(three).alias("pos", "w"))
-    rows = rows.select("doc_id", "pos", "w.a", "w.b", "w.c").where("c is not null")
-    return rows.select("doc_id", "pos", F.xxhash64(F.lit(1), "a", "b", "c").alias("h1"), F.xxhash64(F.lit(2), "c", "b", "a").alias("h2"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(*PLACE, F.posexplode(three).alias("pos", "w"))
+    rows = rows.select(*PLACE, "pos", "w.a", "w.b", "w.c").where("c is not null")
+    return rows.select(*PLACE, "pos", F.xxhash64(F.lit(1), "a", "b", "c").alias("h1"), F.xxhash64(F.lit(2), "c", "b", "a").alias("h2"))
 
 
 def repeated_windows(found: DataFrame) -> DataFrame:
-    """(doc_id, pos) of each window that an earlier (doc_id, pos) also has."""
-    firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    """(doc_id, t, pos) of each window that an earlier (doc_id, t, pos) also has."""
+    here = F.struct(*PLACE, "pos")
+    firsts = found.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     rows = prefilter(found, ["h1"], firsts.select("h1"), 22)
-    return salted_lookup(rows, firsts, ["h1", "h2"], "n", ["doc_id", "pos"]).where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos")
+    return salted_lookup(rows, firsts, ["h1", "h2"], "n", [*PLACE, "pos"]).where(here > F.col("first")).select(*PLACE, "pos")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -34,17 +38,23 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     A window is three consecutive lines, line feeds between; its first occurrence by (doc_id, line) stays. Covered
     positions are merged, so overlapping repeats remove each line once. Texts of fewer than three lines stay whole,
-    null stays null with 0 lines, and rows of null doc_id stay whole. Rows that repeat a doc_id are judged as one
-    document: what repeats between them counts as at the same place and stays. Other columns pass through.
+    null stays null with 0 lines, and rows of null doc_id stay whole. Rows that repeat a doc_id and its text are judged as
+    one document: what repeats between them counts as at the same place and stays; different texts of one doc_id are
+    different documents, in the order of a hash. Other columns pass through, whatever their names; n_lines and n_removed of
+    docs are replaced.
     """
-    docs = docs.drop("n_lines", "n_removed", "_at")
-    covered = materialize(repeated_windows(windows(docs)).groupBy("doc_id").agg(F.collect_set("pos").alias("_at")), "line-cover")
-    near = maybe_in(docs, ["doc_id"], bitmap(covered, ["doc_id"], 22), 22)
-    hit = near.where("_maybe").drop("_maybe").join(covered.hint("shuffle_hash"), "doc_id", "left")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    cut = hit.select(*docs.columns, "_at").mapInArrow(_cut, f"{kinds}, n_lines int, n_removed int")
+    docs, own = docs.drop("n_lines", "n_removed"), ["doc_id", "text"]
+    rows = shield(docs, own).withColumn("t", F.xxhash64("text"))
+    found = materialize(windows(rows), "line-windows")
+    covered = materialize(repeated_windows(found).groupBy(*PLACE).agg(F.collect_set("pos").alias("at")), "line-cover", done=(found,))
+    near = maybe_in(rows, PLACE, bitmap(covered, PLACE, 22), 22)
+    hit = near.where("_maybe").drop("_maybe").join(covered.hint("shuffle_hash"), PLACE, "left")
+    names = [c for c in rows.columns if c != "t"]
+    counts = [StructField(c, IntegerType()) for c in ("n_lines", "n_removed")]
+    cut = hit.select(*names, "at").mapInArrow(_cut, StructType([*rows.select(*names).schema.fields, *counts]))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    return cut.unionByName(near.where("not _maybe").drop("_maybe").withColumns({"n_lines": lines, "n_removed": F.lit(0)}))
+    whole = near.where("not _maybe").select(*names).withColumns({"n_lines": lines, "n_removed": F.lit(0)})
+    return unshield(cut.unionByName(whole), docs, own, ["n_lines", "n_removed"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_lookup
+from .common import digest_of, materialize, number_of, repeated, salted_lookup
 from .packing import count_words
 
 #: Rows of a block, and blocks of a super-block, about.
@@ -56,14 +56,15 @@ def mix(docs: DataFrame, max_epochs: float | None = 2.0, entropy: float | None =
     is the least at which every document is drawn once, so mixing never loses one. A source's documents are dealt
     into blocks by hash; every epoch permutes super-blocks, blocks and the documents of a block anew, and the last,
     partial epoch stops at the document that reaches the source's budget. Sorting by position interleaves sources in
-    proportion. Null sources are one source "", null texts are empty, repeated rows are drawn each, an empty table
+    proportion. Rows of equal doc_id, source and length stand together as one run, each drawn in its turn, so repeats are
+    no hot key; a null doc_id is a value like others. Null sources are one source "", null texts are empty, an empty table
     gives no rows; other columns are ignored.
     """
     schema = "doc_id, source, n_tokens, epoch, block, position"
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), (count_words() + 1).alias("n_tokens"))
-    rows = materialize(rows, "mix-rows")
-    per = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_rows"))
-    total = rows.agg(F.sum("n_tokens")).first()[0] or 1
+    rows = materialize(rows.groupBy("doc_id", "source", "n_tokens").agg(F.count(F.lit(1)).alias("same")), "mix-rows")
+    per = rows.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("same")).alias("tokens"), F.count(F.lit(1)).alias("n_rows"))
+    total = rows.agg(F.sum(F.col("n_tokens") * F.col("same"))).first()[0] or 1
     per = materialize(per.withColumn("share", F.col("tokens") / F.lit(total)), "mix-sources")
     if per.isEmpty():
         return rows.select("doc_id", "source", "n_tokens", F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("block"), F.lit(0.0).alias("position"))
@@ -74,19 +75,38 @@ def mix(docs: DataFrame, max_epochs: float | None = 2.0, entropy: float | None =
     per = per.withColumn("epochs", epochs).withColumn("quota", F.round(F.col("epochs") * F.col("tokens")).cast("long"))
     per = per.withColumn("n_blocks", F.ceil(F.col("n_rows") / BLOCK)).where("quota > 0")
     rows = salted_lookup(rows, per.select("source", "tokens", "quota", "n_blocks", "n_rows"), ["source"], "n_rows", ["doc_id"])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("n_blocks")))
+    rows = rows.withColumn("block", F.pmod(number_of(seed, "source", "doc_id", "n_tokens"), F.col("n_blocks"))).withColumn("w", F.col("n_tokens") * F.col("same"))
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.expr("cast(ceil(quota / tokens) as int) - 1"))))
     rows = rows.withColumn("sup", F.expr(f"block div {SUPER}"))
-    order = lambda *c: F.xxhash64(F.lit(seed), "epoch", "source", *c)
+    order = lambda *c: digest_of(seed, "epoch", "source", *c)
     before = lambda keys, *by: F.coalesce(
         F.sum("w").over(Window.partitionBy("source", "epoch", *keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    blocks = rows.groupBy("source", "epoch", "sup", "block").agg(F.sum("n_tokens").alias("w"), F.count(F.lit(1)).alias("n_block"))
-    blocks = materialize(blocks, "mix-blocks")
+    blocks = materialize(rows.groupBy("source", "epoch", "sup", "block").agg(F.sum("w").alias("w")), "mix-blocks")
     sups = blocks.groupBy("source", "epoch", "sup").agg(F.sum("w").alias("w"))
     sups = sups.withColumn("s0", before((), order("sup"), "sup")).drop("w")
     blocks = blocks.withColumn("s1", before(("sup",), order("block"), "block")).drop("w")
     starts = blocks.join(sups, ["source", "epoch", "sup"]).select("source", "epoch", "block", (F.col("s0") + F.col("s1")).alias("start"))
-    rows = rows.withColumn("w", F.col("n_tokens")).withColumn("s2", before(("block",), order("doc_id"), "doc_id"))
+    rows = rows.withColumn("s2", before(("block",), order("doc_id", "n_tokens"), "doc_id", "n_tokens"))
     rows = rows.join(starts, ["source", "epoch", "block"]).withColumn("at", F.col("epoch") * F.col("tokens") + F.col("start") + F.col("s2"))
-    return rows.where("at < quota").withColumn("position", F.col("at") / F.col("quota")).selectExpr(*schema.split(", "))
+    rows = rows.withColumn("_times", F.least("same", F.expr("cast(ceil((quota - at) / n_tokens) as long)"))).where("_times > 0")
+    rows = repeated(rows, "_times", "_copy").withColumn("at", F.expr("at + _copy * n_tokens"))
+    return rows.withColumn("position", F.col("at") / F.col("quota")).selectExpr(*schema.split(", "))
+
+
+#: The exponent in closed form: shares s to the power a - 1 are at most twice apart.
+QUERY_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n_tokens FROM documents),
+p AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens, count(*) AS n_rows FROM t GROUP BY source),
+a AS (SELECT CASE WHEN max(tokens) <= 2 * min(tokens) THEN 0.0 ELSE (1 - ln(2) / ln(max(tokens) / min(tokens))) END AS a, CAST(max(tokens) AS DOUBLE) AS most FROM p),
+q AS (SELECT source, tokens, CAST(round(pow(tokens / most, a - 1) * tokens) AS BIGINT) AS quota, (n_rows + 4095) // 4096 AS n_blocks FROM p, a),
+r AS (SELECT t.*, q.tokens, q.quota, CAST(concat('0x', substr(md5(concat_ws('|', 11, t.source, doc_id, n_tokens)), 1, 15)) AS BIGINT) % n_blocks AS block,
+             unnest(range(0, (q.quota + q.tokens - 1) // q.tokens)) AS epoch FROM t JOIN q ON q.source = t.source),
+b AS (SELECT source, epoch, block, block // 1024 AS sup, sum(n_tokens) AS w FROM r GROUP BY ALL),
+u AS (SELECT source, epoch, sup, coalesce(sum(sum(w)) OVER (PARTITION BY source, epoch ORDER BY md5(concat_ws('|', 11, epoch, source, sup)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0
+      FROM b GROUP BY source, epoch, sup),
+v AS (SELECT source, epoch, sup, block, coalesce(sum(w) OVER (PARTITION BY source, epoch, sup ORDER BY md5(concat_ws('|', 11, epoch, source, block)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s1 FROM b),
+x AS (SELECT r.*, coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch, block ORDER BY md5(concat_ws('|', 11, epoch, source, doc_id, n_tokens)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s2 FROM r),
+y AS (SELECT x.*, CAST(x.epoch * x.tokens + s0 + s1 + s2 AS BIGINT) AS place FROM x JOIN v USING (source, epoch, block) JOIN u USING (source, epoch, sup))
+SELECT doc_id, source, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(block AS BIGINT) AS block, CAST(place AS DOUBLE) / quota AS position FROM y WHERE place < quota
+"""

@@ -79,6 +79,8 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 """
     return {
         "op1_exact_dedup": exact,
+        "op2_packing": packing.QUERY_SQL,
+        "op3_mixing": mixing.QUERY_SQL,
         "op4_line_dedup": line_dedup.QUERY_SQL,
         "op6_ngram_jaccard": ngram_join.QUERY_SQL,
         "op7_pivot_topk": pivot_search.QUERY_SQL,

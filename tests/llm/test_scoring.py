@@ -67,6 +67,19 @@ def test_mix_meets_repetition_limit_and_keeps_all(spark):
         assert np.allclose(np.diff(part.position) * round(epochs[s] * tokens[s]), part.n_tokens[:-1], rtol=0.2)
 
 
+def test_repeated_rows_are_runs(spark):
+    rows = [(1, "a " * 3, "s")] * 9000 + [(1, "a " * 5, "s")] * 2 + [(None, "b", "s")] * 3 + [(2, "c " * 60000, "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(docs, max_epochs=1.5).toPandas()
+    assert (got[(got.epoch == 0)].groupby(["doc_id", "n_tokens"], dropna=False).size().sort_index().tolist()) == [9000, 2, 1, 3]
+    own = got[got.source == "s"].sort_values("position")
+    quota = round((own.n_tokens.iloc[0] if len(own) == 1 else (own.position.diff().iloc[1:] / own.n_tokens.iloc[:-1].to_numpy())).pow(-1).median())
+    at = np.rint(own.position * quota).astype(int).to_numpy()
+    assert (np.diff(at) == own.n_tokens.to_numpy()[:-1]).all() and len(own) > 12000
+    packed = packing.pack(docs, buckets=3).toPandas()
+    assert len(packed) == 9000 + 2 + 3 + 30 and not packed.duplicated(["bucket", "shard", "batch", "slot"]).any()
+
+
 def test_mix_entropy_and_budget(spark):
     docs = spark.createDataFrame([(i, "w " * 9, "a" if i < 90 else "b") for i in range(100)], "doc_id long, text string, source string")
     per = docs.groupBy("source").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / 100)

@@ -208,6 +208,17 @@ def test_line_dedup_is_brute_force(spark):
     assert {x.doc_id: (x.text, x.n_removed) for x in got.collect()} == brute_lines(rows)
 
 
+def test_line_dedup_with_clashing_names_and_repeated_ids(spark):
+    names = ["_mask", "_word", "_bit", "_maybe", "_at", "at", "t", "a.b", "c0", "h1", "pos", "n", "_salt", "x`y"]
+    rows = [(1, "a\nb\nc\nd"), (2, "z\na\nb\nc"), (2, "q\nb\nc\nd"), (2, "q\nb\nc\nd"), (None, "a\nb\nc")]
+    df = spark.createDataFrame([(*r, *range(len(names))) for r in rows], ["doc_id", "text", *names])
+    got = line_dedup(df)
+    assert got.columns == ["doc_id", "text", *names, "n_lines", "n_removed"]
+    got = sorted((tuple(r) for r in got.collect()), key=str)
+    assert [(r[0], r[1], r[-1]) for r in got] == sorted([(1, "a\nb\nc\nd", 0), (2, "q", 3), (2, "q", 3), (2, "z", 3), (None, "a\nb\nc", 0)], key=str)
+    assert all(r[2:-2] == tuple(range(len(names))) for r in got)
+
+
 def test_empty_tables_and_null_ids(spark, tmp_path):
     empty = spark.createDataFrame([], EMPTY)
     empty.write.parquet(str(tmp_path / "e.parquet"))
