@@ -87,6 +87,12 @@ def unshield(rows: DataFrame, docs: DataFrame, own: Sequence[str], more: Sequenc
     return rows.select(*(c if c in own else f"c{next(rest)}" for c in docs.columns), *more).toDF(*docs.columns, *more)
 
 
+def with_content_key(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """rows with k1 and k2, 128 bits of hash over the columns, nulls told from empty: rows of equal content have equal keys."""
+    parts = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return rows.withColumns({"k1": F.xxhash64(F.lit(31), *parts), "k2": F.xxhash64(F.lit(37), *reversed(parts))})
+
+
 def number_of(*parts: Column | str | int) -> Column:
     """A whole number below 2**60 from an MD5 of the parts, the same in any SQL engine that has MD5."""
     return F.conv(F.substring(digest_of(*parts), 1, 15), 16, 10).cast("long")

@@ -45,8 +45,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = language_id.train(load(spark, sf_dir, "documents"))
-    return language_id.identify_pages(load(spark, sf_dir, "pages"), model)
+    models = language_id.train(load(spark, sf_dir, "documents"))
+    return language_id.identify_pages(load(spark, sf_dir, "pages"), models)
 
 
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Labelled rows that the lexicon and the trees are fitted on at most, and the words and stems of the lexicon at most.
-SAMPLE, LEXICON = 20000, 4000
+#: Labelled rows that the lexicon and the trees are fitted on at most.
+SAMPLE = 20000
 STEM = 4
 #: Second-person words of English, French, German and Spanish.
 SECOND = frozenset(
@@ -191,19 +191,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most sample labelled rows outside fold 0, taken by a hash of doc_id: lexicon, trees and calibration
-    on three parts of them, so none sees what another has fitted. The driver gets counts of at most LEXICON pieces
-    and the features of the sampled rows, whatever the input."""
+    on three parts of them, so none sees what another has fitted. Of rows that share a doc_id one is taken, by a hash of
+    its text. The driver gets pieces that three toxic rows of the sample or more hold, and the features of the sampled rows,
+    whatever the input."""
     named = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     named = named.where(fold() != 0).orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(named), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     rows = materialize(rows.withColumn("part", F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(10))), "toxic-sample")
     counts = rows.where("part < 5").select("text", (F.col("y") > 0).cast("int").alias("y")).mapInArrow(_count, "piece binary, clean long, bad long")
     counts = materialize(counts.groupBy("piece").agg(F.sum("clean").alias("clean"), F.sum("bad").alias("bad")).where("bad >= 3 or piece = X''"), "toxic-pieces")
     sizes = counts.where("piece = X''").first()
     clean, bad = (sizes["clean"] or 0, sizes["bad"] or 0) if sizes else (0, 0)
     odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    top = counts.where("piece <> X''").withColumn("odds", odds).where("odds > 1.6").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "piece").limit(LEXICON)
-    lexicon = {bytes(r.piece): r.odds for r in top.collect()}
+    lexicon = {bytes(r.piece): r.odds for r in counts.where("piece <> X''").withColumn("odds", odds).where("odds > 1.6").collect()}
 
     def run(batches):
         for b in batches:

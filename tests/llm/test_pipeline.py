@@ -20,32 +20,33 @@ def n_words(text):
     return len((text or "").encode().translate(bytes.maketrans(WHITE, b" " * len(WHITE))).split())
 
 
-def brute_language(rows, model):
-    """doc_ids whose best language has at least half of the posterior."""
-    kinds, S = len(model.languages), language_id.SMOOTH
-    n, means = model.means([r.text for r in rows])
+def brute_language(rows, models):
+    """(doc_id, language, probability, accepted) of each row, by the formula; each text by the model that has not seen it."""
+    languages, S = models[0].languages, language_id.SMOOTH
+    kinds = len(languages)
+    read = [(r, *(x[0] for x in models[fold].means([r.text]))) for r, fold in rows]
     votes = {}
-    for r, size, m in zip(rows, n, means, strict=True):
+    for r, size, m in read:
         own = votes.setdefault(r.source or "", np.zeros(kinds))
         if size and m.argmax() < kinds:
             own[m.argmax()] += 1
     total = sum(votes.values())
     above = (total + S * (total + 1) / (total.sum() + kinds)) / (total.sum() + S)
-    kept = set()
-    for r, size, m in zip(rows, n, means, strict=True):
+    out = []
+    for r, size, m in read:
         v = votes[r.source or ""]
-        score = m * min(size, language_id.TRUST)
+        score = m * size * language_id.WEIGHT
         score[:kinds] += np.log((v + S * above) / (v.sum() + S) * 0.999)
         score[kinds] += math.log(0.001)
-        said = (r.lang or "").lower()
-        if said in model.languages:
-            for i, x in enumerate(model.languages):
+        said = (r.lang or "").lower().split("-")[0]
+        if said in languages:
+            for i, x in enumerate(languages):
                 score[i] += math.log(language_id.DECLARED if x == said else (1 - language_id.DECLARED) / (kinds - 1))
             score[kinds] += math.log(1 / kinds)
         p = np.exp(score - score.max())
-        if size and (p / p.sum())[:kinds].max() >= 0.5:
-            kept.add(r.doc_id)
-    return kept
+        p = (p / p.sum())[:kinds]
+        out.append((r.doc_id, languages[p.argmax()] if size else None, p.max() if size else 0.0, bool(size) and p.max() >= 0.5))
+    return out
 
 
 def least_padding(histogram, buckets):
@@ -89,11 +90,16 @@ def test_every_stage_is_brute_force(spark, folder):
     start, spoken, lined, single, mixed = seen
     packed = docs.collect()
 
-    model = language_id.train(load(spark, where, "documents"))
-    assert {r.doc_id for r in spoken} == brute_language(start, model)
+    read = load(spark, where, "documents")
+    folds = {r[0]: r[1] for r in read.select("doc_id", language_id.fold_of()).collect()}
+    want = brute_language([(r, folds[r.doc_id]) for r in start], language_id.train(read))
+    assert {r.doc_id for r in spoken} == {i for i, *_, accepted in want if accepted}
+    got = {r.doc_id: r for r in language_id.identify_documents(read).collect()}
+    assert all((got[i].language, got[i].accepted) == (x, a) and abs(got[i].probability - p) < 1e-9 for i, x, p, a in want) and len(got) == len(want)
     assert not {r.doc_id for r in spoken} & set(range(at + 1, at + 5))
     assert Counter(spoken) <= Counter(start)
 
+    assert language_id.accept_documents(read.withColumn("doc_id", F.lit(None).cast("long"))).count() > 0
     want = brute_lines([(r.doc_id, r.text) for r in spoken])
     assert {r.doc_id: r.text for r in lined} == {i: t for i, (t, gone) in want.items() if not gone or t.strip(" ")}
     assert all(r.n_chars == len(r.text) for r in lined) and want[at + 8][1] > 0
@@ -139,7 +145,7 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
 
 def test_other_columns_with_clashing_names(spark):
     docs, labels = load(spark, SF, "documents"), load(spark, SF, "labels")
-    more = docs.withColumns({c: F.lit(9) for c in ("score", "predicted", "y", "part", "language", "accepted", "n", "host", "id")})
+    more = docs.withColumns({c: F.lit(9) for c in ("score", "predicted", "y", "part", "language", "accepted", "n", "host", "id", "k1", "t", "c0", "a.b", "fold", "_mask")})
     pick = lambda rows: sorted(map(tuple, rows.collect()))
     assert pick(toxicity.score_toxicity(more, labels.withColumn("y", F.lit(0)))) == pick(toxicity.score_toxicity(docs, labels))
     kept = language_id.accept_documents(more)
@@ -154,6 +160,15 @@ def test_repeated_rows_are_one_and_are_drawn_by_the_mixture(spark):
     near = corpus_pipeline.near_stage(spark, spark.createDataFrame(many + rest, schema), SF)
     assert Counter(map(tuple, near.collect())) == Counter([many[0], *rest])
 
+    # rows without an id are documents like others, through every stage
+    lone = [(None, text("n", 30), "en", "small", 9), (None, text("a", 40), "en", "small", 9), (None, text("m", 25), "en", None, 9), (None, text("m", 25) + " x", "en", None, 9)]
+    near = corpus_pipeline.near_stage(spark, spark.createDataFrame(many + rest + lone + lone, schema), SF)
+    near = Counter(map(tuple, near.collect()))
+    assert {r for r in near if r[0] is None} in ({lone[0], lone[2]}, {lone[0], lone[3]}) and max(near.values()) == 1 and near[many[0]] == 1
+    mixed = corpus_pipeline.mix_stage(spark, spark.createDataFrame(rest + lone, schema), SF)
+    assert {tuple(r) for r in mixed.collect()} == set(rest + lone)
+    assert corpus_pipeline.line_stage(spark, spark.createDataFrame(rest + lone, schema), SF).count() == len(rest + lone)
+
     # one text of doc_id 6 is a copy of doc_id 5, the other is not and stays; no row stays twice
     own = [(6, text("f", 30), "en", "small", 9)]
     near = corpus_pipeline.near_stage(spark, spark.createDataFrame([(5, text("e", 30), "en", "small", 9), *own, *[(6, text("e", 30), "en", "small", 9)] * 5], schema), SF)
