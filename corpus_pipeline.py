@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarnlink.llm.common import load, materialize
+from tarnlink.llm.common import load, materialize, repeated, with_content_key
 from tarnlink.llm.language_id import accept_documents
 from tarnlink.llm.line_dedup import line_dedup
 from tarnlink.llm.mixing import mix
-from tarnlink.llm.ngram_join import jaccard_components
+from tarnlink.llm.ngram_join import jaccard_rows
 from tarnlink.llm.packing import count_words, pack
 
 #: The columns every stage but the last returns; n_chars follows the text.
@@ -17,39 +17,44 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language the text model knows; others go."""
+    """Documents in a language the text model knows; others go. A null doc_id does not matter."""
     return accept_documents(docs).select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later occurrences of three-line windows; one that loses every character goes."""
+    """Documents without later occurrences of three-line windows; one that loses every character goes. Rows of null doc_id
+    stay whole."""
     rows = line_dedup(docs).where("n_removed = 0 or trim(text) <> ''")
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: the one of smallest doc_id. Rows that repeat its doc_id and text are
-    one, of the smallest other columns; rows of its doc_id with other texts all stay."""
-    found = jaccard_components(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.max("component_id").alias("_most"))
-    rows = docs.select(*COLUMNS).join(found.where("doc_id = _most").select("doc_id", "_rows"), "doc_id")
-    others = [c for c in COLUMNS if c not in ("doc_id", "text")]
-    several = rows.where("_rows > 1").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_first"))
-    return rows.where("_rows = 1").select(*COLUMNS).unionByName(several.select("doc_id", "text", *(f"_first.{c}" for c in others)).select(*COLUMNS))
+    """One row of each near-duplicate component: the one of smallest doc_id, a null one last, then of smallest content hash.
+    Rows without words have no component and stay; rows that are equal in every column are one."""
+    rows = with_content_key(docs.select(*COLUMNS), COLUMNS)
+    found = jaccard_rows(rows, ("k1", "k2"))
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("best")
+    first = found.where("comp is not null").groupBy("comp").agg(best).select("best.k1", "best.k2")
+    stay = materialize(first.unionByName(found.where("comp is null").select("k1", "k2").distinct()), "pipeline-stay")
+    rows = rows.join(stay, ["k1", "k2"], "left_semi")
+    return rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("_rows"), *(F.first(c).alias(c) for c in COLUMNS)).select(*COLUMNS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mixture draws it, once at least. Rows of equal doc_id, source and number of tokens are drawn
-    as one and share the draws, the first by their other columns one more if they do not divide."""
-    keys = ["doc_id", "_source", "_tokens"]
-    drawn = mix(docs).groupBy(F.col("doc_id"), F.col("source").alias("_source"), F.col("n_tokens").alias("_tokens"))
+    """Each row as often as the mixture draws it, once at least. Rows of equal doc_id (null is one), source and number of
+    tokens are drawn as one run and share the draws, the first by their other columns one more if they do not divide."""
+    drawn = mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("n_tokens").alias("_tokens"))
     # epoch 0 draws every row once, so it counts the rows
     drawn = drawn.agg(F.count(F.lit(1)).alias("_draws"), F.sum((F.col("epoch") == 0).cast("long")).alias("_rows"))
-    rows = docs.select(*COLUMNS, F.coalesce("source", F.lit("")).alias("_source"), (count_words() + 1).alias("_tokens")).join(drawn, keys)
-    order = Window.partitionBy(*keys).orderBy("lang", "n_chars", "text")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce("source", F.lit("")) == F.col("_source")) & (count_words() + 1 == F.col("_tokens"))
+    rows = docs.select(*COLUMNS).join(drawn, same)
     one = rows.where("_rows = 1").withColumn("_times", F.col("_draws"))
-    several = rows.where("_rows > 1").withColumn("_at", F.row_number().over(order))
-    several = several.withColumn("_times", F.expr("_draws div _rows + if(_at <= _draws % _rows, 1, 0)")).drop("_at")
-    return one.unionByName(several).withColumn("_draw", F.explode(F.expr("sequence(1L, _times)"))).select(*COLUMNS)
+    several = rows.where("_rows > 1").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_same"))
+    order = Window.partitionBy("_id", "_source", "_tokens").orderBy("lang", "n_chars", "text", "source").rowsBetween(Window.unboundedPreceding, -1)
+    several = several.withColumn("_at", F.coalesce(F.sum("_same").over(order), F.lit(0)))
+    more = "greatest(0L, least(_at + _same, _draws % _rows) - _at)"
+    several = several.withColumn("_times", F.expr(f"_same * (_draws div _rows) + {more}")).drop("_same", "_at")
+    return repeated(one.unionByName(several).where("_times > 0"), "_times", "_draw").select(*COLUMNS)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
