@@ -119,14 +119,36 @@ def test_pivot_search_is_brute_force(spark, monkeypatch):
     assert pivot_search.top_k(df.where("vec_id < 0")).count() == 0
 
 
-def test_pivots_end_a_search_early():
-    r = np.random.default_rng(2)
-    x = np.concatenate([r.normal(size=(3000, 8)) + 40 * np.eye(8)[c] * (1, -1)[s] for c in range(8) for s in (0, 1)])
-    x = np.floor(x * 64)
-    pivots = x[::3000]
-    far = np.sqrt(((x[:, None] - pivots[None]) ** 2).sum(-1))
-    _, seen = pivot_search.search_block(np.arange(len(x)), x, far, np.array([5]), x[5:6], far[5:6], 20)
-    assert seen < len(x) / 4
+def clusters(n, width, seed=2):
+    r = np.random.default_rng(seed)
+    centres = r.normal(size=(16, width)) * 6
+    return [(i, (centres[r.integers(16)] + r.normal(size=width) * 0.2).tolist()) for i in range(n)]
+
+
+def test_pivots_spare_most_candidates(spark, monkeypatch):
+    monkeypatch.setattr(pivot_search, "CANDIDATES", 500)
+    monkeypatch.setattr(pivot_search, "QUERIES", 50)
+    monkeypatch.setattr(pivot_search, "RING", 10)
+    rows = clusters(4000, 8)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = pivot_search.top_k(df, k=5, every=100, pivots=24, counted=True).toPandas()
+    want = brute_top([(i, np.floor(np.array(v) * 64)) for i, v in rows], 5, 100)
+    assert sorted(got[["query_id", "rank", "vec_id", "score"]].itertuples(index=False, name=None)) == want
+    assert got.drop_duplicates("query_id").evaluated.mean() < 0.2 * len(rows)
+
+
+def test_large_products_are_exact_or_refused(spark):
+    rows = [(i, [float((7919 * i * j + 12345) % 2**26) for j in range(6)]) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, pivot_search.top_k(df, k=4, every=5).collect()))
+    whole = {i: [int(x) * 64 for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in whole if i % 5 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w)), i) for i, w in whole.items() if i != q)[:4]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want) and max(x[3] for x in want) > 2**53
+    with pytest.raises(ValueError):
+        pivot_search.top_k(spark.createDataFrame([(20, [1e18, 1.0]), (21, [1e18, 0.0])], "vec_id long, embedding array<double>"))
 
 
 def test_toxicity_held_out(spark):
