@@ -7,7 +7,7 @@ import math
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,14 @@ BLOCK = 1 << 15
 #: Multipliers of the independent minimum hashes that gather near copies first.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-#: Key of the 128-bit word hash, and the weights of the words of a shingle in its two halves.
+#: Keys of the two word hashes, and the weights of the words of a shingle in each.
 KEY = 0x5851F42D4C957F2D
+_KEYS = [np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A35, 0xD1342543DE82EF95, 0xA0761D6478BD642F)]
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _WEIGHT = np.random.default_rng(20240607).integers(1, 2**63, (2, 16), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Sets of a chunk, about, if they are small.
+SETS = 256
 #: Characters hashed in one go, about.
 BATCH = 1 << 18
 
@@ -47,31 +52,43 @@ def _mixed(word: np.ndarray, k: int, weights: np.ndarray) -> np.ndarray:
     return _scramble(full)
 
 
+def _words(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word of all texts, and the first word of each text, and of none.
+
+    The first 16 bytes of a word are taken whole; a longer word is first hashed to 128 bits under a key.
+    """
+    data = b"\n" + b"\n".join(raws).translate(_FOLD) + b"\n" + bytes(16)
+    low = np.frombuffer(data, np.uint8)
+    white = _WHITE[low[:-16]]
+    turn = np.flatnonzero(white[1:] != white[:-1]) + 1
+    begin, end = turn[::2], turn[1::2]  # white space stands before and after, so each word has both
+    n = end - begin
+    eight = np.lib.stride_tricks.sliding_window_view(low, 8)
+    low, high = eight[begin].view("<u8")[:, 0] & _MASK[np.minimum(n, 8)], eight[begin + 8].view("<u8")[:, 0] & _MASK[np.clip(n - 8, 0, 8)]
+    for i in np.flatnonzero(n > 16).tolist():
+        low[i], high[i] = np.frombuffer(xxhash.xxh3_128_digest(data[begin[i] : end[i]], KEY), np.uint64)
+    n = n.astype(np.uint64)
+    first = _scramble(_scramble(low ^ _KEYS[0]) + _scramble(high + n * _KEYS[1]))
+    second = _scramble(_scramble(low + _KEYS[2]) ^ _scramble(high * _KEYS[3] + n))
+    return first, second, np.searchsorted(begin, np.cumsum([1, *(len(x) + 1 for x in raws)]))
+
+
 def shingle_sets(texts: list[str | None], k: int = WORDS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text the distinct hashes of its k-word shingles, as two halves of 64 bits sorted by the first; one shingle
-    for all its words if it has fewer.
+    """For each text the sorted distinct 64-bit hashes of its k-word shingles, and the least and greatest of as many second
+    hashes; one shingle for all its words if it has fewer.
 
-    Each distinct word is hashed whole, to 128 bits under a key; each half of a shingle is a weighted sum of the like
-    halves of its words.
+    Each half of a shingle is a weighted sum of the like halves of its words.
     """
-    words = [(x or "").encode("utf-8", "surrogatepass").translate(_FOLD).split() for x in texts]
-    code = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(words)))}
-    table = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w, KEY) for w in code), np.uint64).reshape(-1, 2)
-    lengths = [len(x) for x in words]
-    at = np.fromiter(map(code.__getitem__, chain.from_iterable(words)), np.int64, sum(lengths))
-    halves = [table[at, i] for i in (0, 1)]
+    *halves, first = _words([(x or "").encode("utf-8", "surrogatepass") for x in texts])
     full = [_mixed(x, k, w) for x, w in zip(halves, _WEIGHT, strict=True)]
-    out, start = [], 0
-    for n in lengths:
-        if n >= k:
-            own = full[0][start : start + n - k + 1]
-            by = np.argsort(own)
-            own = own[by]
-            first = np.concatenate(([True], own[1:] != own[:-1]))
-            out.append((own[first], full[1][start : start + n - k + 1][by][first]))
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= k:
+            own, more = np.sort(full[0][a : b - k + 1]), full[1][a : b - k + 1]
+            fresh = own[1:] != own[:-1]
+            out.append((own if fresh.all() else own[np.concatenate(([True], fresh))], np.array([more.min(), more.max()])))
         else:
-            out.append(tuple(_mixed(x[start : start + n], n, w) if n else np.empty(0, np.uint64) for x, w in zip(halves, _WEIGHT, strict=True)))
-        start += n
+            out.append(tuple(_mixed(x[a:b], b - a, w) if b > a else np.empty(0, np.uint64) for x, w in zip(halves, _WEIGHT, strict=True)))
     return out
 
 
@@ -92,9 +109,9 @@ def shingles(text: str | None, k: int = WORDS) -> np.ndarray:
     return shingle_sets([text], k)[0][0]
 
 
-def signature(halves: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
-    """128 bits of BLAKE2 over both halves of all members: sets are equal if their signatures are."""
-    found = hashlib.blake2b(halves[0].tobytes() + halves[1].tobytes(), digest_size=16).digest()
+def signature(found: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
+    """128 bits of BLAKE2 over all members and the ends of their second hashes: sets are equal if their signatures are."""
+    found = hashlib.blake2b(found[0].tobytes() + found[1].tobytes(), digest_size=16).digest()
     return tuple(int.from_bytes(found[i : i + 8], "little", signed=True) for i in (0, 8))
 
 
@@ -257,10 +274,10 @@ def _prints(batches: Iterator[pa.RecordBatch], percent: int, k: int) -> Iterator
     for b in batches:
         at = b.schema.get_field_index("text")
         sizes, sigs, prefixes, keys = [], [], [], []
-        for halves in batched_sets(b.column(at).to_pylist(), k):
-            own, n = halves[0], len(halves[0])
+        for found in batched_sets(b.column(at).to_pylist(), k):
+            own, n = found[0], len(found[0])
             sizes.append(n)
-            sigs.append(signature(halves) if n else (None, None))
+            sigs.append(signature(found) if n else (None, None))
             prefixes.append(own[: n - least(n, percent) + extra(n)].view(np.int64) if n else np.empty(0, np.int64))
             keys.append([int((own * m >> np.uint64(1)).min()) for m in _MIX] if n else [])
         rest = [i for i in range(b.num_columns) if i != at]
@@ -343,14 +360,15 @@ def gather_copies(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> Dat
         shared = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total")).where("rows > 1")
         shared = materialize(shared, "jaccard-shared")
         rows = salted_lookup(prefilter(keyed, ["k", "key"], shared), shared, ["k", "key"], "rows", ["sig"])
-        chunk = F.pmod(F.xxhash64(F.lit(turn), "sig", "k"), F.ceil(F.col("total") / BLOCK))
+        rows = rows.withColumn("q", F.ceil(F.greatest(F.col("total") / BLOCK, F.col("rows") / SETS)))
+        chunk = F.pmod(F.xxhash64(F.lit(turn), "sig", "k"), F.col("q"))
         rows = rows.withColumn("block", F.xxhash64("k", "key", chunk))
         wanted = rows.groupBy("rk", "sig", "s1", "s2").agg(F.collect_list("block").alias("blocks"))
         sets = fetch_texts(docs, wanted, "rk").mapInArrow(_sets(k, ["sig", "blocks"]), "sig long, blocks array<long>, members array<long>")
         found = materialize(_search(sets.select("sig", "members", F.explode("blocks").alias("block")), lambda rows: _leaders(rows, percent)), "jaccard-near")
         links = found if links is None else links.unionByName(found)
         leaders = found.where("u = v").select(F.col("u").alias("sig"), "block")
-        again = rows.where(F.col("total") > BLOCK).select("sig", "s1", "s2", "rk", "n", "k", "key", "block").join(leaders, ["sig", "block"], "left_semi")
+        again = rows.where("q > 1").select("sig", "s1", "s2", "rk", "n", "k", "key", "block").join(leaders, ["sig", "block"], "left_semi")
         keyed = materialize(again.drop("block"), "jaccard-again")
         before, count = count, keyed.count()
         if not count or (before is not None and count > 0.5 * before):
@@ -465,8 +483,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = WORDS)
     smallest doc_id reachable. Null, empty and blank texts have 0 shingles and their own component. Equal sets are one
     class, so copies are never expanded into pairs; rows that share a doc_id are judged each by its own text, and a row of
     null doc_id links like others: its component_id is null if no row of its component has an id. Other columns are
-    ignored. Words are hashed whole to 128 bits under a key, sets are equal if 128-bit signatures over both halves of
-    their members are, and overlaps of unequal sets are counted by the first halves.
+    ignored. Words are hashed whole, twice to 64 bits under keys; sets are equal if their 128-bit signatures are, and
+    overlaps of unequal sets are counted by the first hashes of their members.
     """
     return jaccard_rows(docs, (), percent, k).drop("comp")
 
