@@ -51,6 +51,9 @@ def materialize(df: DataFrame, label: str, done: Sequence[DataFrame] = ()) -> Da
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     release(*done)
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > 0.5 * heap.maxMemory():  # a small driver lets go of broadcasts only when it collects garbage
+        spark._jvm.System.gc()
     return out
 
 
