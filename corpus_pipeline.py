@@ -46,15 +46,18 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     drawn = mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("n_tokens").alias("_tokens"))
     # epoch 0 draws every row once, so it counts the rows
     drawn = drawn.agg(F.count(F.lit(1)).alias("_draws"), F.sum((F.col("epoch") == 0).cast("long")).alias("_rows"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce("source", F.lit("")) == F.col("_source")) & (count_words() + 1 == F.col("_tokens"))
-    rows = docs.select(*COLUMNS).join(drawn, same)
-    one = rows.where("_rows = 1").withColumn("_times", F.col("_draws"))
-    several = rows.where("_rows > 1").groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_same"))
-    order = Window.partitionBy("_id", "_source", "_tokens").orderBy("lang", "n_chars", "text", "source").rowsBetween(Window.unboundedPreceding, -1)
-    several = several.withColumn("_at", F.coalesce(F.sum("_same").over(order), F.lit(0)))
-    more = "greatest(0L, least(_at + _same, _draws % _rows) - _at)"
-    several = several.withColumn("_times", F.expr(f"_same * (_draws div _rows) + {more}")).drop("_same", "_at")
-    return repeated(one.unionByName(several).where("_times > 0"), "_times", "_draw").select(*COLUMNS)
+    drawn = materialize(drawn, "pipeline-drawn")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.coalesce("source", F.lit("")) == F.col("_source")) & (F.col("_words") == F.col("_tokens"))
+    rows = docs.select(*COLUMNS, (count_words() + 1).alias("_words"))
+    out = rows.join(drawn.where("_rows = 1"), same).withColumn("_times", F.col("_draws"))
+    if not drawn.where("_rows > 1").isEmpty():
+        several = rows.join(drawn.where("_rows > 1"), same).groupBy(*out.drop("_times").columns).agg(F.count(F.lit(1)).alias("_same"))
+        order = Window.partitionBy("_id", "_source", "_tokens").orderBy("lang", "n_chars", "text", "source").rowsBetween(Window.unboundedPreceding, -1)
+        several = several.withColumn("_at", F.coalesce(F.sum("_same").over(order), F.lit(0)))
+        more = "greatest(0L, least(_at + _same, _draws % _rows) - _at)"
+        several = several.withColumn("_times", F.expr(f"_same * (_draws div _rows) + {more}"))
+        out = out.unionByName(several.select(*out.columns))
+    return repeated(out.where("_times > 0"), "_times", "_draw").select(*COLUMNS)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
