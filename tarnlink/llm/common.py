@@ -52,7 +52,7 @@ def materialize(df: DataFrame, label: str, done: Sequence[DataFrame] = ()) -> Da
     out._scratch = path
     release(*done)
     heap = spark._jvm.java.lang.Runtime.getRuntime()
-    if heap.totalMemory() > 0.5 * heap.maxMemory():  # a small driver lets go of broadcasts only when it collects garbage
+    if heap.totalMemory() > min(heap.maxMemory() / 4, 1 << 31):  # broadcasts go only when the driver collects its garbage
         spark._jvm.System.gc()
     return out
 
