@@ -155,6 +155,8 @@ def salted_lookup(rows: DataFrame, table: DataFrame, keys: list[str], count: str
     table side, so no task holds a whole hot key and no row is dropped.
     """
     n = partitions(rows.sparkSession)
+    if hasattr(table, "_scratch") and table.where(F.col(count) > HOT_ROWS).isEmpty():
+        return rows.join(table, keys, how)
     hot = bitmap(table.where(F.col(count) > HOT_ROWS), keys, 16)
     left = maybe_in(rows, keys, hot, 16).withColumn(
         "_salt", F.when(F.col("_maybe"), F.pmod(F.xxhash64(F.lit(5), *spread), F.lit(n))).otherwise(F.lit(0)).cast("int")

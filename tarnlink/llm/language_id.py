@@ -16,6 +16,7 @@ from .common import materialize, salted_lookup, shield, unshield, with_content_k
 
 #: Labelled rows of each language the text model is fitted on at most, and the hashed byte trigrams of the model.
 SAMPLE, GRAMS = 1000, 1 << 13
+SLICES = 1024
 #: How much a trigram counts as evidence beside its neighbours, which share two of its bytes.
 WEIGHT = 0.5
 #: Nats a trigram by which text of no language has to beat the best language.
@@ -80,7 +81,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> list[TextModel]:
     (code_of), whatever their case or region.
     """
     named = docs.select("text", code_of(F.col("lang")).alias("lang")).where("lang is not null and length(text) > 0").withColumn("t", F.xxhash64(F.lit(21), "text"))
-    keys = named.select("lang", "t").withColumn("at", F.dense_rank().over(Window.partitionBy("lang").orderBy("t"))).where(F.col("at") <= sample).drop("at").distinct()
+    # the smallest hashes of each of SLICES slices, so that no task gets a whole language; the driver gets 4 * sample + SLICES a language at most
+    keys = named.select("lang", "t").distinct().withColumn("slice", F.pmod("t", F.lit(SLICES)))
+    first = F.row_number().over(Window.partitionBy("lang", "slice").orderBy("t"))
+    taken: dict[str, list[int]] = {}
+    for r in keys.withColumn("at", first).where(F.col("at") <= -(-4 * sample // SLICES)).select("lang", "t").collect():
+        taken.setdefault(r.lang, []).append(r.t)
+    keys = docs.sparkSession.createDataFrame([(x, t) for x, ts in taken.items() for t in sorted(ts)[:sample]], "lang string, t long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -347,6 +347,8 @@ def named(own: DataFrame) -> DataFrame:
     """own with sig, one long for each signature: its first half, but a hash of both where that half is seen to serve two."""
     clash = own.groupBy("s1").agg(F.min("s2").alias("a"), F.max("s2").alias("b")).where("a < b")
     words = materialize(bitmap(clash, ["s1"], 16), "jaccard-clash")
+    if words.isEmpty():
+        return own.withColumn("sig", F.col("s1"))
     return maybe_in(own, ["s1"], words, 16).withColumn("sig", F.when(F.col("_maybe"), F.xxhash64("s1", "s2")).otherwise(F.col("s1"))).drop("_maybe")
 
 
@@ -379,6 +381,7 @@ def gather_copies(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> Dat
 def _apart(rows: DataFrame) -> DataFrame:
     """Those rows (h, sig, comp, ...) whose member h also occurs in another component."""
     several = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo < hi").select("h", "df")
+    several = materialize(several, "jaccard-apart")
     return salted_lookup(prefilter(rows, ["h"], several.select("h"), 24), several, ["h"], "df", ["sig"])
 
 
