@@ -81,41 +81,52 @@ def search_block(ids, vectors, table, block, blocks: Blocks, query_ids, queries,
     """The k best (query, id, score: by score desc, id asc) of these candidates for each query, as far as they reach its
     floor, and how many candidates were evaluated for each query.
 
-    Blocks come by bound, and the candidates of a block by bound, until it is below the floor or the k-th score found.
+    First the block of greatest bound, then the others that still reach; of each the STEP candidates of greatest bound, then
+    those that reach what these have found. No bound below the floor or the k-th score found is followed.
     """
     order = np.lexsort((ids, block))
-    ids, vectors, table, block = ids[order], vectors[order], table[order], block[order]
-    own, starts = np.unique(block, return_index=True)
-    ends = [*starts[1:].tolist(), len(ids)]
+    ids, vectors, table, block = ids[order], vectors[order], np.ascontiguousarray(table[order].T), block[order]
+    own, starts, lengths = np.unique(block, return_index=True, return_counts=True)
     square = (vectors * vectors).sum(1)
     values = vectors.astype(np.int64) if exact else vectors
+    low, high, most = blocks.low[own], blocks.high[own], blocks.square[own]
     out, seen = [], []
     for q, query, far, floor in zip(query_ids, queries, query_table, floors, strict=True):
-        norm = float(query @ query)
-        asked = query.astype(np.int64) if exact else query
-        bounds = blocks.bounds(norm, far, own)
-        close = np.argsort(far)[:CLOSE]
-        best, names, count = np.empty(0, values.dtype), np.empty(0, np.int64), 0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            least = max(floor, best[-1]) if len(best) >= k else floor
-            if bounds[b] < least:
-                break
-            rows = slice(int(starts[b]), ends[b])
-            bound = _bound(norm, square[rows], np.abs(table[rows, close] - far[close]).max(1))
-            some = np.flatnonzero((bound >= least) & (ids[rows] != q))
-            if len(some) > STEP:
-                some = some[np.argsort(-bound[some], kind="stable")]
-            for at in range(0, len(some), STEP):
-                least = max(floor, best[-1]) if len(best) >= k else floor
-                now = some[at : at + STEP]
-                now = now[bound[now] >= least] + rows.start
-                if not len(now):
-                    break
-                best, names = np.concatenate((best, values[now] @ asked)), np.concatenate((names, ids[now]))
-                top = np.lexsort((names, -best))[:k]
-                best, names, count = best[top], names[top], count + len(now)
-        reach = best >= floor
-        out.append((np.full(int(reach.sum()), q), names[reach], best[reach]))
+        norm, asked = float(query @ query), query.astype(np.int64) if exact else query
+        bounds = _bound(norm, most, np.maximum(np.maximum(low - far, far - high).max(1), 0))
+        close = np.argpartition(far, min(CLOSE, len(far) - 1))[:CLOSE]
+        bound = _bound(norm, square, np.abs(table[close] - far[close, None]).max(0))
+        bound[ids == q] = -np.inf
+        best, names, count, least = np.empty(0, values.dtype), np.empty(0, np.int64), 0, floor
+
+        def look(rows, scores):
+            nonlocal best, names, least
+            good = np.flatnonzero((scores >= least) & (bound[rows] > -np.inf))  # noqa: B023
+            best, names = np.concatenate((best, scores[good])), np.concatenate((names, ids[rows][good]))
+            top = np.lexsort((names, -best))[:k]
+            best, names = best[top], names[top]
+            if len(best) >= k:
+                least = max(least, best[-1])
+
+        home = int(bounds.argmax())
+        for turn in (0, 1):
+            reach = np.zeros(len(own), bool)
+            reach[home] = True
+            if turn:
+                reach = ~reach & (bounds >= least)
+            rest = np.flatnonzero((bound >= least) & (bound > -np.inf) & np.repeat(reach, lengths))
+            if len(rest) > STEP:
+                cut = np.argpartition(-bound[rest], STEP)
+                now, rest = rest[cut[:STEP]], np.sort(rest[cut[STEP:]])
+                count += len(now)
+                look(now, values[now] @ asked)
+                rest = rest[bound[rest] >= least]
+            if len(rest):
+                span = slice(int(rest[0]), int(rest[-1]) + 1)
+                count += len(rest)
+                # nearly all of a stretch: its product at once spares the copy
+                look(rest, (values[span] @ asked)[rest - span.start] if 2 * len(rest) > span.stop - span.start else values[rest] @ asked)
+        out.append((np.full(len(best), q), names, best))
         seen.append(count)
     return [np.concatenate(x) for x in zip(*out, strict=True)], seen
 
