@@ -25,10 +25,10 @@ def left_fill(left: DataFrame, right: DataFrame, keys: list[str], fill) -> DataF
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join that fails if a key is missing on the right."""
-    if not left.join(right, keys, "left_anti").isEmpty():
-        raise KeyError(f"keys {keys} without a row")
-    return left.join(right, keys)
+    """A join that fails, when it runs, on a key that is missing on the right."""
+    rows = left.join(right.withColumn("_found", F.lit(True)), keys, "left")
+    found = F.coalesce(F.col("_found"), F.raise_error(F.lit(f"a key of {keys} has no row")).cast("boolean"))
+    return rows.where(found).drop("_found")
 
 
 def best_per_group(df: DataFrame, group: list[str], *order: Column) -> DataFrame:
@@ -96,4 +96,5 @@ def subset(a: Column, b: Column) -> Column:
 def shares(df: DataFrame, group: str) -> DataFrame:
     """(group, n, share)."""
     counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = counts.agg(F.sum("n").alias("_total"))  # one row
+    return counts.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_total")).drop("_total")

@@ -82,20 +82,6 @@ def slab_scores(queries: DataFrame, index: DataFrame, query: str, candidate: str
     return top_k(found.toDF(query, candidate, "score"), k, query, candidate)
 
 
-def estimated_pairs(queries: DataFrame, index: DataFrame, keys: list[str] = ()) -> int:
-    """The rows a posting join would make: the sum over terms of both document frequencies."""
-    count = lambda d, n: d.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias(n))
-    return count(queries, "x").join(count(index, "y"), [*keys, "term"]).agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0))).first()[0]
-
-
-def search(queries: DataFrame, index: DataFrame, query: str, candidate: str, k: int = 16, limit: int = 200_000_000, tile: int = 4096) -> DataFrame:
-    """Top k by posting join, or by dense slabs if the join would make more than limit rows."""
-    if estimated_pairs(queries, index) <= limit:
-        return top_k(posting_scores(queries, index, query, candidate), k, query, candidate)
-    most = max(queries.select(query).distinct().count(), index.select(candidate).distinct().count())
-    return slab_scores(queries, index, query, candidate, k, max(1, -(-most // tile)))
-
-
 def fuzzy_expansions(words: DataFrame, vocabulary: DataFrame, word: str, term: str, most: int, edits: int = 2) -> DataFrame:
     """(word, term, distance): vocabulary terms that share the first two letters and are within edits (optimal
     string alignment), the nearest first, then by term, at most `most` a word."""

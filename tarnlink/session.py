@@ -27,11 +27,13 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder (spark.checkpoint.dir; a temporary one only where that is unset) and read back,
-    so that later steps plan over a table and lost executors cost nothing."""
+    """df written to the shared folder (spark.checkpoint.dir; a temporary one where that is unset, on one machine only) and
+    read back, so that later steps plan over a table and lost executors cost nothing."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tarnlink-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/tarnlink/linkage-{uuid.uuid4().hex}"

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 SOURCE = ("entity_id", "business_name", "business_address", "country")
 
 
-def read_tsv(spark: SparkSession, paths: str | list[str], columns: tuple[str, ...] = SOURCE, rows: int | None = None) -> DataFrame:
-    """All strings; quotes doubled inside quotes, tabs and line feeds kept there; empty is "" and "null" text."""
+def read_tsv(spark: SparkSession, paths: str | list[str], columns: tuple[str, ...] = SOURCE, rows: int | None = None, line_feeds: bool = True) -> DataFrame:
+    """All strings; quotes doubled inside quotes, tabs kept there; empty is "" and "null" text. line_feeds keeps those
+    inside quotes too, for which a file cannot be split among tasks; without them, say False for large files."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    df = spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(paths)
+    df = spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("multiLine", line_feeds).csv(paths)
     df = df.fillna("")
     return df if rows is None else df.limit(rows)
 

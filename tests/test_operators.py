@@ -124,8 +124,8 @@ def test_validator_finds_each_fault(spark):
 
 def test_lookup_fails_on_missing_keys(spark):
     a = spark.createDataFrame([(1,), (2,)], "k long")
-    with pytest.raises(KeyError):
-        relational.lookup(a, a.where("k = 1").withColumn("v", F.lit(1)), ["k"])
+    with pytest.raises(Exception, match="has no row"):
+        relational.lookup(a, a.where("k = 1").withColumn("v", F.lit(1)), ["k"]).collect()
     with pytest.raises(ValueError):
         tsv.aligned_vectors(a, a.where("k = 1").withColumn("v", F.lit(1)), "k")
 
