@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import addresses, names, similarity, tokens
-from ..llm.common import materialize, prefilter
+from ..session import settled
 from ..operators import decide, features, fusion, metrics, mining, models, postings, relational, sampling, search, validate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,14 +206,14 @@ def decontaminate_whole(spark, sf_dir):
     asked = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"))
     cut = tokens.words(F.lower("text"))
     # words that no passage has weigh nothing, so they need not be shuffled
-    words = prefilter(asked.select("query_id", F.explode(cut).alias("term")), ["term"], index.select(F.explode(cut).alias("term")))
+    words = asked.select("query_id", F.explode(cut).alias("term")).join(index.select(F.explode(cut).alias("term")).distinct(), "term", "left_semi")
     own, found = postings.fitted(index, words, "s1_id", "query_id", cut, F.array("term"))
     # a written index is known to be small where it is; then the sums of a document stay in one partition
-    own = materialize(own, "whole-index")
+    own = settled(own)
     close = search.posting_scores(found.repartition("query_id"), own, "query_id", "s1_id").withColumn("score", F.round("score", search.DIGITS)).where("score > 0")
-    held = materialize(contained(asked, index), "whole-held")
+    held = settled(contained(asked, index))
     near = close.join(held, ["query_id", "s1_id"], "left").where("score >= 0.5 or whole")
-    near = materialize(near.select("query_id", "s1_id", "score", F.coalesce("whole", F.lit(False)).alias("contained")), "whole-near")
+    near = settled(near.select("query_id", "s1_id", "score", F.coalesce("whole", F.lit(False)).alias("contained")))
     rest = held.join(near, ["query_id", "s1_id"], "left_anti").select("query_id", "s1_id", F.lit(0.0).alias("score"), F.lit(True).alias("contained"))
     return near.unionByName(rest).withColumnsRenamed({"query_id": "doc_id", "s1_id": "item_id"})
 
@@ -227,7 +227,7 @@ def contained(docs: DataFrame, passages: DataFrame) -> DataFrame:
     items = passages.where(r"text rlike '\\S'").withColumn("word", F.get(longest, F.lit(0))["w"]).withColumnRenamed("text", "passage")
     words = docs.select("query_id", "text", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
     known = items.where("word is not null")
-    near = prefilter(words, ["word"], known).join(known, "word").where("contains(text, passage)").select("query_id", "s1_id")
+    near = words.join(known, "word").where("contains(text, passage)").select("query_id", "s1_id")
     short = docs.join(items.where("word is null"), F.expr("contains(text, passage)")).select("query_id", "s1_id")
     return near.unionByName(short).distinct().withColumn("whole", F.lit(True))
 
