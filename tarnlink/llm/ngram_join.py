@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, connected_components, fetch_texts, materialize, maybe_in, partitions, prefilter, release, salted_lookup
+from .common import bitmap, connected_components, fetch_texts, materialize, maybe_in, prefilter, release, salted_lookup
 
 #: Similarity 80 of 100, shingles of five words.
 PERCENT, WORDS = 80, 5
@@ -326,9 +326,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], search) -> Iterator[pa.RecordBatc
 
 
 def _search(blocks: DataFrame, search: Callable) -> DataFrame:
-    """(block, u, v): the links found in each block."""
-    n = partitions(blocks.sparkSession)
-    dealt = blocks.repartition(n, "block").sortWithinPartitions("block", F.size("members"), "sig")
+    """(block, u, v): the links found in each block. No number of partitions is given, so that adaptive execution joins
+    those that hold few blocks."""
+    dealt = blocks.repartition("block").sortWithinPartitions("block", F.size("members"), "sig")
     return dealt.mapInArrow(lambda it: _blocks(it, search), "block long, u long, v long")
 
 
