@@ -116,30 +116,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _slots(keys: list[str], bits: int):
+#: Longs of a bitmap row.
+LANES = 16
+
+
+def _slots(keys: list[str], bits: int) -> dict[str, Column]:
     slot = F.pmod(F.xxhash64(F.lit(17), *keys), F.lit(1 << bits))
-    return F.shiftright(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+    lane = F.shiftright(slot, 6).bitwiseAND(F.lit(LANES - 1))
+    return {"_word": F.shiftright(slot, 10), "_lane": lane.cast("int"), "_bit": slot.bitwiseAND(F.lit(63)).cast("int")}
 
 
 def bitmap(keys: DataFrame, names: list[str], bits: int) -> DataFrame:
-    """A bitmap of 2**bits bits as rows (_word, _mask): at most 2**(bits - 6) rows whatever the input."""
-    word, bit = _slots(names, bits)
-    return (
-        keys.select(word.alias("_word"), bit.alias("_bit"))
-        .groupBy("_word")
-        .agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_mask"))
-    )
+    """A bitmap of 2**bits bits as rows (_word, _mask: LANES longs): at most 2**(bits - 10) rows whatever the input."""
+    lanes = [F.expr(f"bit_or(if(_lane = {i}, shiftleft(1L, _bit), 0L))") for i in range(LANES)]
+    return keys.select(*(c.alias(k) for k, c in _slots(names, bits).items())).groupBy("_word").agg(F.array(*lanes).alias("_mask"))
 
 
 def maybe_in(df: DataFrame, names: list[str], words: DataFrame, bits: int) -> DataFrame:
-    """Adds _maybe: false only if the row's key is certainly not in the bitmap. The broadcast has 2**(bits - 6) rows at most."""
-    word, bit = _slots(names, bits)
+    """Adds _maybe: false only if the row's key is certainly not in the bitmap. The broadcast has 2**(bits - 10) rows at most."""
     return (
-        df.withColumn("_word", word)
-        .withColumn("_bit", bit)
+        df.withColumns(_slots(names, bits))
         .join(F.broadcast(words), "_word", "left")
-        .withColumn("_maybe", F.expr("coalesce(shiftright(_mask, _bit) & 1L, 0L) = 1L"))
-        .drop("_word", "_bit", "_mask")
+        .withColumn("_maybe", F.expr("coalesce(shiftright(_mask[_lane], _bit) & 1L, 0L) = 1L"))
+        .drop("_word", "_lane", "_bit", "_mask")
     )
 
 
