@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,9 +55,24 @@ def materialize(df: DataFrame, label: str, done: Sequence[DataFrame] = ()) -> Da
     heap = spark._jvm.java.lang.Runtime.getRuntime()
     if heap.totalMemory() > min(heap.maxMemory() / 4, 1 << 31):  # broadcasts go only when the driver collects its garbage
         spark._jvm.System.gc()
+    trim(spark)
     return out
 
 
+def trim(spark: SparkSession) -> bool:
+    """Asks the driver's JVM to return freed native memory, which the C library otherwise keeps for each of its threads. False
+    where the JVM has no such command (before 17.0.9, or not on Linux)."""
+    jvm, args = spark._jvm, spark.sparkContext._gateway.new_array(spark._jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    # by reflection on the interface, as the server's own class is not open to py4j
+    call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    try:
+        call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def _delete(spark: SparkSession, where: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -181,3 +181,12 @@ def test_repeated_rows_are_one_and_are_drawn_by_the_mixture(spark):
     assert Counter({k: sum(n for r, n in mixed.items() if (r[0], r[3] or "", n_words(r[1]) + 1) == k) for k in want}) == want
     assert set(mixed) == set(many + rest) and want[1, "small", 41] > 20
     assert abs(mixed[rest[0]] - mixed[rest[1]]) <= 1
+
+
+def test_tables_return_native_memory(spark, monkeypatch):
+    from tarnlink.llm import common
+
+    assert common.trim(spark)
+    asked = []
+    monkeypatch.setattr(common, "trim", lambda s: asked.append(s))
+    assert common.materialize(spark.range(3), "trim-test").count() == 3 and asked
