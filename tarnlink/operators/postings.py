@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Index postings up to which fitted(settle=...) sends them to all tasks, so that no query posting is shuffled.
+SMALL = 1 << 18
+
 
-def term_counts(df: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
-    """(keys, term, tf) of each row's tokens; counts combine before the shuffle."""
-    return df.select(*keys, F.explode(tokens).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(df: DataFrame, keys: list[str], tokens: Column, words: dict[str, Column] | None = None) -> DataFrame:
+    """(keys, term, tf) of each row's tokens; counts combine before the shuffle. Tokens that lie inside words, of the one column
+    of words, are cut once from each different word of a key: words = {that column: the words of its text}."""
+    if words is None:
+        return df.select(*keys, F.explode(tokens).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    ((text, cut),) = words.items()
+    each = df.select(*keys, F.explode(cut).alias(text)).groupBy(*keys, text).agg(F.count(F.lit(1)).alias("n"))
+    # an inner explode would be planned with a filter that cuts the word once more
+    each = each.select(*keys, "n", F.explode_outer(tokens).alias("term")).where("term is not null")
+    return each.groupBy(*keys, "term").agg(F.sum("n").alias("tf"))
 
 
 def document_frequency(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -19,8 +31,8 @@ def document_frequency(counts: DataFrame, n_docs: DataFrame) -> DataFrame:
 def tfidf(counts: DataFrame, df: DataFrame, key: str) -> DataFrame:
     """(key, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), unit length; terms unknown to df go first."""
     raw = counts.join(df, "term").withColumn("w", (1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def bm25(counts: DataFrame, df: DataFrame, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -37,10 +49,21 @@ def raw_weights(counts: DataFrame, key: str) -> DataFrame:
     return counts.select(key, "term", F.col("tf").cast("double").alias("weight"))
 
 
-def fitted(index: DataFrame, queries: DataFrame, index_key: str, query_key: str, index_tokens: Column, query_tokens: Column, scoring: str = "tfidf") -> tuple[DataFrame, DataFrame]:
-    """Posting rows of both sides, fitted on the whole index: (index_key, term, weight), (query_key, term, weight)."""
-    own, asked = term_counts(index, [index_key], index_tokens), term_counts(queries, [query_key], query_tokens)
+def fitted(index: DataFrame, queries: DataFrame, index_key: str, query_key: str, index_tokens: Column, query_tokens: Column, scoring: str = "tfidf", settle: Callable[[DataFrame], DataFrame] | None = None, words: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Posting rows of both sides, fitted on the whole index: (index_key, term, weight), (query_key, term, weight).
+
+    With settle, which writes a table, the postings and frequencies of a small index are written once and broadcast, and
+    queries are dealt by their key before they are cut: then only texts are shuffled, and hits stay where their query is. words is that of term_counts, for both sides.
+    """
+    own = term_counts(index, [index_key], index_tokens, words)
+    if settle:
+        own, queries = settle(own), queries.repartition(query_key)
     df = document_frequency(own, index.agg(F.countDistinct(index_key).alias("n")))
+    small = settle is not None and own.count() <= SMALL
+    df = F.broadcast(settle(df)) if small else df
+    asked = term_counts(queries, [query_key], query_tokens, words)
     if scoring == "bm25":
-        return bm25(own, df, index_key), raw_weights(asked.join(df.select("term"), "term", "left_semi"), query_key)
-    return tfidf(own, df, index_key), tfidf(asked, df, query_key)
+        own, asked = bm25(own, df, index_key), raw_weights(asked.join(df.select("term"), "term", "left_semi"), query_key)
+    else:
+        own, asked = tfidf(own, df, index_key), tfidf(asked, df, query_key)
+    return F.broadcast(settle(own)) if small else own, asked

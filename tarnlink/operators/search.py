@@ -46,13 +46,14 @@ def combine_fields(name_scores: DataFrame, address_scores: DataFrame, query: str
     return rows.withColumn("score", F.col("name_score") * boost + F.col("address_score"))
 
 
-def slab_scores(queries: DataFrame, index: DataFrame, query: str, candidate: str, k: int, tiles: int = 1) -> DataFrame:
+def slab_scores(queries: DataFrame, index: DataFrame, query: str, candidate: str, k: int, tiles: int = 1, down: int = 1) -> DataFrame:
     """B07 for small vocabularies (character n-grams): blocks of queries and of candidates become dense slabs whose
-    product is one matrix multiplication; each task holds one tile of either side, and returns k hits a query."""
-    place = lambda c, s: F.pmod(F.xxhash64(F.lit(s), c), F.lit(tiles)).cast("int")
-    span = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    left = queries.select(F.col(query).cast("long").alias("id"), "term", "weight").withColumn("a", place("id", 1)).withColumn("b", span)
-    right = index.select(F.col(candidate).cast("long").alias("id"), "term", "weight").withColumn("b", place("id", 2)).withColumn("a", span)
+    product is one matrix multiplication; each task holds one tile of either side, and returns k hits a query. Queries
+    are cut into `tiles` and candidates into `down`, so a query is copied `down` times only."""
+    place = lambda m, s: F.pmod(F.xxhash64(F.lit(s), "id"), F.lit(m)).cast("int")
+    span = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = queries.select(F.col(query).cast("long").alias("id"), "term", "weight").withColumn("a", place(tiles, 1)).withColumn("b", span(down))
+    right = index.select(F.col(candidate).cast("long").alias("id"), "term", "weight").withColumn("b", place(down, 2)).withColumn("a", span(tiles))
 
     def multiply(x: pa.Table, y: pa.Table) -> pa.Table:
         empty = pa.table({"q": pa.array([], pa.int64()), "s": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})

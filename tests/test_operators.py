@@ -4,7 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tarnlink.operators import decide, features, fusion, metrics, mining, models, relational, sampling, search, validate
+from tarnlink.functions import tokens
+from tarnlink.operators import decide, features, fusion, metrics, mining, models, postings, relational, sampling, search, validate
 from tarnlink.plans import catalog, linkage
 from tarnlink.session import settled
 from tarnlink.sources import tsv
@@ -146,6 +147,24 @@ def test_slabs_equal_postings(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def test_slabs_copy_queries_by_index_tiles_only(spark):
+    rows = [(i, t, 1.0 + (i * 7 + len(t)) % 3) for i in range(40) for t in ("a", "bb", "ccc", "dddd")[: 1 + i % 4]]
+    p = spark.createDataFrame(rows, "id long, term string, weight double")
+    q, s = p.withColumnRenamed("id", "q"), p.withColumnRenamed("id", "s")
+    a = search.top_k(search.posting_scores(q, s, "q", "s"), 5, "q", "s").select("q", "s", "rank").collect()
+    for tiles, down in ((7, 1), (5, 2), (1, 3)):
+        b = search.slab_scores(q, s, "q", "s", 5, tiles, down).select("q", "s", "rank").collect()
+        assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_grams_of_different_words_count_as_grams_of_the_text(spark):
+    rows = [(1, "Abab ab, AB x"), (2, ""), (2, "abc ab"), (3, "ÉTÉ été İx"), (None, "ab ab")]
+    df, text = spark.createDataFrame(rows, "id long, text string"), tokens.word_chars("text")
+    for cut in (tokens.char_ngrams("text", 2), tokens.char_ngrams("text", 3), tokens.skip_bigrams("text")):
+        a, b = postings.term_counts(df, ["id"], cut).collect(), postings.term_counts(df, ["id"], cut, {"text": text}).collect()
+        assert a and sorted(map(str, a)) == sorted(map(str, b))
+
+
 def test_copies_of_parts_are_scored_once(spark, tmp_path, monkeypatch):
     part = spark.read.parquet(f"{SF}/part.parquet")
     copies = part.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("p_partkey", F.col("p_partkey") + 1000 * F.col("i")).drop("i")
