@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +28,23 @@ def word_chars(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(_col(text)), F.lit(WORD), F.lit(0))
 
 
+#: Up to U+024F Python and the JVM agree on letters, digits and lower case; other texts are cut by the JVM only.
+BEYOND = r"[^\x00-\u024F]"
+_beyond, _runs = re.compile(BEYOND), re.compile(r"[^\W_]+")
+
+
+def beyond(text: Column | str) -> Column:
+    """word_chars(text) of a text with letters beyond U+024F, null for others: what python_word_chars() needs."""
+    return F.when(_col(text).rlike(BEYOND), word_chars(text))
+
+
+def python_word_chars(text: str | None, known: Callable[[], list[str] | None]) -> list[str]:
+    """word_chars() in Python; known gives beyond() of the text, and is asked only where that holds something."""
+    if text is None:
+        return []
+    return known() or [] if _beyond.search(text) else _runs.findall(text.lower())
+
+
 def char_ngrams(text: Column | str, n: int) -> Column:
     """Character n-grams inside words."""
     long = F.filter(word_chars(text), lambda w: F.length(w) >= n)
@@ -110,3 +130,6 @@ TOKENIZERS = {
     "phonkey": phonetic_keys,
     "shingle": word_shingles,
 }
+
+#: Tokenizers whose terms lie inside the words of word_chars(): the characters of a window, and which of them are the term.
+INSIDE = {"bi": (2, (0, 1)), "tri": (3, (0, 1, 2)), "skip": (3, (0, 2))}

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from ..functions import tokens
 from .relational import running
 
 
@@ -50,37 +56,117 @@ class HashedEmbedder:
         return rows.withColumn(out, run(text))
 
 
+def murmur3(data: bytes, seed: int = 42) -> int:
+    """The signed 32-bit hash that HashingTF takes of a term's bytes."""
+    h, whole = seed, len(data) & ~3
+    for i in range(0, len(data), 4):
+        k = int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & 0xFFFFFFFF
+        h ^= (k << 15 | k >> 17) * 0x1B873593 & 0xFFFFFFFF
+        if i < whole:
+            h = ((h << 13 | h >> 19) * 5 + 0xE6546B64) & 0xFFFFFFFF
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+class Crosses:
+    """The places of the crossed words of two texts in a vector, as HashingTF has them."""
+
+    #: Words and texts of which places are remembered.
+    MOST = 1 << 17
+
+    def __init__(self, size: int):
+        self.size, self.lefts, self.rights, self.texts = size, {}, {}, {}
+        self.grades, self.bias = [self.place(f"share={i}") for i in range(11)], self.place("bias")
+
+    def place(self, term: str) -> int:
+        return murmur3(term.encode("utf-8", "surrogatepass")) % self.size
+
+    def _kept(self, known: dict, key: str, make: Callable[[str], object]):
+        found = known.get(key)
+        if found is None:
+            if len(known) >= self.MOST:
+                known.clear()
+            found = known[key] = make(key)
+        return found
+
+    def left_place(self, word: str) -> int:
+        return self._kept(self.lefts, word, lambda w: self.place("left=" + w))
+
+    def left(self, words: list[str]) -> tuple[set[str], np.ndarray]:
+        """The words of a left text, and how many of them have each place."""
+        own = set(words)
+        return own, np.bincount(np.array([self.left_place(w) for w in own], np.int64), minlength=self.size)
+
+    def right(self, text: str, words: Callable[[], list[str]]) -> dict[str, tuple[int, int]]:
+        """The words of a right text, and their places if the left text has them and if not."""
+        places = lambda w: (self.place("both=" + w), self.place("right=" + w))
+        return self._kept(self.texts, text, lambda _: {w: self._kept(self.rights, w, places) for w in words()})
+
+    def of(self, left: tuple[set[str], np.ndarray], right: dict[str, tuple[int, int]]) -> np.ndarray:
+        own, counts = left[0], left[1].copy()
+        both, on = 0, []
+        for w, (shared, alone) in right.items():
+            if w in own:
+                both += 1
+                counts[self.left_place(w)] -= 1
+                on.append(shared)
+            else:
+                on.append(alone)
+        share = both / max(len(own) + len(right) - both, 1)
+        counts[[*on, self.grades[math.floor(share * 10)], self.bias]] = 1
+        return np.flatnonzero(counts)
+
+
 class CrossScorer:
     """Logistic regression over hashed token crosses of a pair; scores are the mean of the eligible models."""
 
     def __init__(self, size: int = 1 << 14):
         self.size, self.models = size, {}
 
-    def _features(self, pairs: DataFrame) -> DataFrame:
-        cut = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-        rows = pairs.withColumns({"_a": cut("left"), "_b": cut("right")})
-        tag = lambda name, arr: F.transform(arr, lambda t: F.concat(F.lit(name), t))
-        both, one, two = F.array_intersect("_a", "_b"), F.array_except("_a", "_b"), F.array_except("_b", "_a")
-        share = F.size(both) / F.greatest(F.size(F.array_union("_a", "_b")), F.lit(1))
-        grade = F.array(F.concat(F.lit("share="), F.floor(share * 10).cast("string")), F.lit("bias"))
-        rows = rows.withColumn("_t", F.concat(tag("both=", both), tag("left=", one), tag("right=", two), grade))
-        return HashingTF(numFeatures=self.size, inputCol="_t", outputCol="_v", binary=True).transform(rows)
+    def featured(self, pairs: DataFrame) -> DataFrame:
+        """pairs with the vector _v in place of left and right: hashed words that both texts have, that only the left or only the
+        right one has, and a grade of their share. Where a column same is true, the left text is that of the row before."""
+        rest, size = [c for c in pairs.columns if c not in ("left", "right", "same")], self.size
+        pairs = pairs if "same" in pairs.columns else pairs.withColumn("same", F.lit(False))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cross, left = Crosses(size), None
+            for b in batches:
+                col = {x: b.column(b.schema.get_field_index(x)) for x in ("left", "right", "same", "_left", "_right")}
+                found = []
+                for i, (same, right) in enumerate(zip(col["same"].to_pylist(), col["right"].to_pylist(), strict=True)):
+                    if not same:
+                        left = cross.left(tokens.python_word_chars(col["left"][i].as_py(), lambda: col["_left"][i].as_py()))  # noqa: B023
+                    found.append(cross.of(left, cross.right(right, lambda: tokens.python_word_chars(right, lambda: col["_right"][i].as_py()))))  # noqa: B023
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+                flat = np.concatenate([*found, np.empty(0, np.int32)]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (flat, np.ones(len(flat)))]
+                fixed = [pa.array(np.full(b.num_rows, x, t)) for x, t in ((0, np.int8), (size, np.int32))]
+                vector = pa.StructArray.from_arrays([*fixed, *lists], ["type", "size", "indices", "values"])
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), vector], [*rest, "_v"])
+
+        schema = StructType([*(pairs.schema[c] for c in rest), StructField("_v", VectorUDT())])
+        return pairs.withColumns({"_left": F.when(~F.col("same"), tokens.beyond("left")), "_right": tokens.beyond("right")}).mapInArrow(run, schema)
 
     def fit(self, pairs: DataFrame, fold: str = "A") -> CrossScorer:
         model = LogisticRegression(featuresCol="_v", labelCol="label", regParam=0.01, maxIter=30)
-        self.models[fold] = model.fit(self._features(pairs).select("_v", F.col("label").cast("double").alias("label")))
+        rows = pairs if "_v" in pairs.columns else self.featured(pairs)
+        self.models[fold] = model.fit(rows.select("_v", F.col("label").cast("double").alias("label")))
         return self
 
     def score(self, pairs: DataFrame, fold: str | None = None) -> DataFrame:
-        """With a fold column, a model never scores the fold it was fitted on, unless it is the only one."""
-        rows = self._features(pairs)
+        """With a fold column, a model never scores the fold it was fitted on, unless it is the only one. pairs may be featured()."""
+        rows = pairs if "_v" in pairs.columns else self.featured(pairs)
         total, n = F.lit(0.0), F.lit(0)
         for name, model in self.models.items():
             rows = model.transform(rows).withColumn(f"_l{name}", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "probability", "prediction")
             may = F.lit(True) if fold is None or len(self.models) == 1 else F.col(fold) != name
             total, n = total + F.when(may, F.col(f"_l{name}")).otherwise(0.0), n + may.cast("int")
         rows = rows.withColumn("logit", total / F.nullif(n, F.lit(0)))
-        return rows.drop("_a", "_b", "_t", "_v", *(f"_l{m}" for m in self.models))
+        return rows.drop("_v", *(f"_l{m}" for m in self.models))
 
 
 def batches_by_length(pairs: DataFrame, *texts: str) -> DataFrame:

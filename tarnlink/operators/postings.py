@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,19 @@ def raw_weights(counts: DataFrame, key: str) -> DataFrame:
     return counts.select(key, "term", F.col("tf").cast("double").alias("weight"))
 
 
+#: Cells, terms by candidates, up to which counted_small() has an index.
+CELLS = 1 << 22
+
+
+def counted_small(index: DataFrame, key: str, tokens: Column, words: dict[str, Column] | None = None) -> tuple[pa.Table, int] | None:
+    """The counts (key, term, tf) of a small index and the number of its keys, for search.small_index_hits(); None of a larger."""
+    counts = term_counts(index, [key], tokens, words)
+    found = counts.limit(SMALL + 1).toArrow()
+    if found.num_rows > SMALL or len(found[key].unique()) * len(found["term"].unique()) > CELLS:
+        return None
+    return found, index.agg(F.countDistinct(key)).first()[0]
+
+
 def fitted(index: DataFrame, queries: DataFrame, index_key: str, query_key: str, index_tokens: Column, query_tokens: Column, scoring: str = "tfidf", settle: Callable[[DataFrame], DataFrame] | None = None, words: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Posting rows of both sides, fitted on the whole index: (index_key, term, weight), (query_key, term, weight).
 
