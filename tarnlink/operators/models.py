@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions import tokens
 from .relational import running
@@ -105,7 +105,8 @@ class Crosses:
         places = lambda w: (self.place("both=" + w), self.place("right=" + w))
         return self._kept(self.texts, text, lambda _: {w: self._kept(self.rights, w, places) for w in words()})
 
-    def of(self, left: tuple[set[str], np.ndarray], right: dict[str, tuple[int, int]]) -> np.ndarray:
+    def of(self, left: tuple[set[str], np.ndarray], right: dict[str, tuple[int, int]]) -> bytes:
+        """The bits of the places that are taken."""
         own, counts = left[0], left[1].copy()
         both, on = 0, []
         for w, (shared, alone) in right.items():
@@ -117,7 +118,7 @@ class Crosses:
                 on.append(alone)
         share = both / max(len(own) + len(right) - both, 1)
         counts[[*on, self.grades[math.floor(share * 10)], self.bias]] = 1
-        return np.flatnonzero(counts)
+        return np.packbits(counts > 0).tobytes()
 
 
 class CrossScorer:
@@ -127,8 +128,9 @@ class CrossScorer:
         self.size, self.models = size, {}
 
     def featured(self, pairs: DataFrame) -> DataFrame:
-        """pairs with the vector _v in place of left and right: hashed words that both texts have, that only the left or only the
-        right one has, and a grade of their share. Where a column same is true, the left text is that of the row before."""
+        """pairs with _bits, a vector of zeros and ones, in place of left and right: hashed words that both texts have, that only
+        the left or only the right one has, and a grade of their share. Where a column same is true, the left text is that of the
+        row before."""
         rest, size = [c for c in pairs.columns if c not in ("left", "right", "same")], self.size
         pairs = pairs if "same" in pairs.columns else pairs.withColumn("same", F.lit(False))
 
@@ -141,25 +143,37 @@ class CrossScorer:
                     if not same:
                         left = cross.left(tokens.python_word_chars(col["left"][i].as_py(), lambda: col["_left"][i].as_py()))  # noqa: B023
                     found.append(cross.of(left, cross.right(right, lambda: tokens.python_word_chars(right, lambda: col["_right"][i].as_py()))))  # noqa: B023
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-                flat = np.concatenate([*found, np.empty(0, np.int32)]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (flat, np.ones(len(flat)))]
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), pa.array(found, pa.binary())], [*rest, "_bits"])
+
+        schema = StructType([*(pairs.schema[c] for c in rest), StructField("_bits", BinaryType())])
+        return pairs.withColumns({"_left": F.when(~F.col("same"), tokens.beyond("left")), "_right": tokens.beyond("right")}).mapInArrow(run, schema)
+
+    def vectors(self, pairs: DataFrame) -> DataFrame:
+        """featured() pairs with the vector _v of _bits; pairs of texts are featured first."""
+        pairs, size = pairs if "_bits" in pairs.columns else self.featured(pairs), self.size
+        rest = [c for c in pairs.columns if c != "_bits"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in (x.slice(at, 1024) for x in batches for at in range(0, x.num_rows, 1024)):
+                bits = b"".join(b.column(b.schema.get_field_index("_bits")).to_pylist())
+                rows, places = np.nonzero(np.unpackbits(np.frombuffer(bits, np.uint8).reshape(b.num_rows, -1), axis=1))
+                ends = np.searchsorted(rows, np.arange(b.num_rows + 1)).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (places.astype(np.int32), np.ones(len(places)))]
                 fixed = [pa.array(np.full(b.num_rows, x, t)) for x, t in ((0, np.int8), (size, np.int32))]
                 vector = pa.StructArray.from_arrays([*fixed, *lists], ["type", "size", "indices", "values"])
                 yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), vector], [*rest, "_v"])
 
-        schema = StructType([*(pairs.schema[c] for c in rest), StructField("_v", VectorUDT())])
-        return pairs.withColumns({"_left": F.when(~F.col("same"), tokens.beyond("left")), "_right": tokens.beyond("right")}).mapInArrow(run, schema)
+        return pairs.mapInArrow(run, StructType([*(pairs.schema[c] for c in rest), StructField("_v", VectorUDT())]))
 
     def fit(self, pairs: DataFrame, fold: str = "A") -> CrossScorer:
         model = LogisticRegression(featuresCol="_v", labelCol="label", regParam=0.01, maxIter=30)
-        rows = pairs if "_v" in pairs.columns else self.featured(pairs)
-        self.models[fold] = model.fit(rows.select("_v", F.col("label").cast("double").alias("label")))
+        kept = pairs.select("label", *(c for c in ("left", "right", "same", "_bits") if c in pairs.columns))
+        self.models[fold] = model.fit(self.vectors(kept).select("_v", F.col("label").cast("double").alias("label")))
         return self
 
     def score(self, pairs: DataFrame, fold: str | None = None) -> DataFrame:
         """With a fold column, a model never scores the fold it was fitted on, unless it is the only one. pairs may be featured()."""
-        rows = pairs if "_v" in pairs.columns else self.featured(pairs)
+        rows = self.vectors(pairs)
         total, n = F.lit(0.0), F.lit(0)
         for name, model in self.models.items():
             rows = model.transform(rows).withColumn(f"_l{name}", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "probability", "prediction")
