@@ -7,7 +7,7 @@ import math
 from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from heapq import heapify, heappop, heappush
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ from .common import bitmap, connected_components, fetch_texts, materialize, mayb
 PERCENT, WORDS = 80, 5
 #: The members of all sets that are searched in one block, about; larger groups are cut into chunks.
 BLOCK = 1 << 15
+#: Blocks of the last search are as many times larger, as each set of a wide group is copied to all its chunks.
+WIDER = 4
 #: Multipliers of the independent minimum hashes that gather near copies first.
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -180,44 +182,63 @@ class Searcher:
     def divide(lengths: list[int], t: int) -> int:
         """How many lists, by ascending length, are merged if sets in t of them are sought; the others are probed.
 
-        Merging costs the entries of the short lists; at most every (t - long)-th of them is a candidate, and one that
-        does not reach t ends after few probes.
+        Merging costs the entries of the short lists; at most every (t - long)-th of them is a candidate, and 64 probes of
+        long lists take about the time of an entry.
         """
         entries, best = [0, *accumulate(lengths)], (math.inf, 0)
-        probe = 4 * math.log2(lengths[-1] + 1)
         spare = 1
         while True:
             spare = min(spare, t)
             short = len(lengths) - t + spare
-            cost = entries[short] * (1 + math.log2(short) / 4) + entries[short] / spare * probe
+            cost = entries[short] * (1 + math.log2(short) / 4) + entries[short] / spare * (2 + (t - spare) / 64)
             best = min(best, (cost, short))
             if spare == t:
                 return best[1]
             spare *= 2
 
+    @staticmethod
+    def probe(some: list[tuple[int, int]], long: list[list[int]], t: int) -> list[tuple[int, int]]:
+        """The candidates (set, lists that hold it) that reach t with the long lists, which are searched for them by halving.
+
+        All are sought at once in the lists laid end to end, unless the candidates are too few for that. One ends when the
+        lists to come cannot bring it to t.
+        """
+        n, total, out = len(long), sum(map(len, long)), []
+        if n * len(some) < max(4096, total // 8):
+            for x, count in some:
+                for left, own in zip(range(n, 0, -1), long, strict=True):
+                    if count + left < t:
+                        break
+                    at = bisect_left(own, x)
+                    count += at < len(own) and own[at] == x
+                out.append((x, count))
+            return [x for x in out if x[1] >= t]
+        if not n:
+            return [x for x in some if x[1] >= t]
+        ids, counts = (np.array(x) for x in zip(*some, strict=True))
+        width = max(some[-1][0], *(x[-1] for x in long)) + 1
+        flat = np.fromiter(chain.from_iterable(long), np.int64, total) + np.repeat(np.arange(n) * width, [len(x) for x in long])
+        at = 0
+        while at < n and len(ids):
+            to = min(n, at + max(1, min(-(-n // 4), (1 << 18) // len(ids))))
+            keys = np.arange(at, to)[:, None] * width + ids
+            counts = counts + (flat[np.minimum(np.searchsorted(flat, keys), total - 1)] == keys).sum(0)
+            alive = counts + (n - to) >= t
+            ids, counts, at = ids[alive], counts[alive], to
+        return list(zip(ids.tolist(), counts.tolist(), strict=True))
+
     def search(self, members: list[int], wanted: Callable[[int], bool] = lambda x: True) -> list[int]:
         """Indexes of all added sets that link to this one and are wanted, ascending."""
-        n = len(members)
-        t = least(n, self.percent)
+        n, sizes, percent = len(members), self.sizes, self.percent
+        t = least(n, percent)
         found = [x for x in map(self.lists.get, members) if x]
         if len(found) < t or not t:
             return []
         found.sort(key=len)
         at = self.divide([len(x) for x in found], t)
         short, long = found[:at], found[at:]
-        n_long = len(long)
-        out = []
-        for x, count in self.merge(short, t - n_long):
-            if not wanted(x):
-                continue
-            for left, own in zip(range(n_long, 0, -1), long, strict=True):
-                if count + left < t:
-                    break
-                at = bisect_left(own, x)
-                count += at < len(own) and own[at] == x
-            if 100 * count >= self.percent * (n + self.sizes[x] - count):
-                out.append(x)
-        return out
+        some = [x for x in self.merge(short, t - len(long)) if percent * sizes[x[0]] <= 100 * n and percent * n <= 100 * sizes[x[0]] and wanted(x[0])]
+        return [x for x, count in self.probe(some, long, t) if 100 * count >= percent * (n + sizes[x] - count)] if some else []
 
 
 def _central(sets: list[np.ndarray]) -> np.ndarray:
@@ -245,22 +266,34 @@ def _leaders(sets: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int
 
 
 def _across(sets: list[tuple[int, list[int], int, int]], percent: int, sides: bool) -> list[tuple[int, int]]:
-    """Links between sets of different components, enough to join all components that link in this block; with sides, of
-    links between the two sides of a block pair."""
-    index, ids, out, parent = Searcher(percent), [], [], {}
+    """Links between sets (sig, members, comp, side) of different components, enough to join all components that link in this
+    block; with sides, of links between the two sides of a block pair.
+
+    A set is searched among those of the components before its own, with sides those on the other side. The component of
+    the most sets comes first, so that these are added only: no list then holds sets that cannot count, as most of a large
+    group of copies are one component.
+    """
+    index, ids, out, parent = [Searcher(percent) for _ in range(2)], ([], []), [], {}
+    comps: dict[int, list[tuple[int, list[int], int]]] = {}
+    for sig, members, comp, side in sets:
+        comps.setdefault(comp, []).append((sig, members, side if sides else 0))
 
     def root(x: int) -> int:
         while (up := parent.setdefault(x, x)) != x:
             parent[x] = x = parent[up]
         return x
 
-    for sig, members, comp, side in sets:
-        own = root(comp)
-        for x in index.search(members, lambda x: not (sides and ids[x][2] == side) and root(ids[x][1]) != own):  # noqa: B023
-            out.append((sig, ids[x][0]))
-            parent[root(ids[x][1])] = root(comp)
-        index.add(members)
-        ids.append((sig, comp, side))
+    for comp, own in sorted(comps.items(), key=lambda x: -len(x[1])):
+        for sig, members, side in own:
+            there = 1 - side if sides else 0
+            for x in index[there].search(members, lambda x: root(ids[there][x][1]) != root(comp)):  # noqa: B023
+                other, theirs = ids[there][x]
+                if root(theirs) != root(comp):
+                    out.append((sig, other))
+                    parent[root(theirs)] = root(comp)
+        for sig, members, side in own:
+            index[side].add(members)
+            ids[side].append((sig, comp))
     return out
 
 
@@ -405,7 +438,7 @@ def _dealt(rare: DataFrame, groups: DataFrame) -> DataFrame:
 
     def sized(rows: DataFrame, keys: list[str]) -> DataFrame:
         sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("rares")).alias("copies"))
-        return salted_lookup(rows, sizes, keys, "size", ["sig"]).drop("size").withColumn("q", F.ceil(F.col("total") / BLOCK).cast("int"))
+        return salted_lookup(rows, sizes, keys, "size", ["sig"]).drop("size").withColumn("q", F.ceil(F.col("total") / (WIDER * BLOCK)).cast("int"))
 
     rares = rare.groupBy("sig").agg(F.count(F.lit(1)).alias("rares"))
     rows = sized(groups.join(rares, "sig"), ["grp"])

@@ -6,7 +6,7 @@ import pytest
 
 from tarnlink.llm.exact_dedup import exact_dedup, normalise
 from tarnlink.llm.line_dedup import line_dedup
-from tarnlink.llm.ngram_join import Searcher, jaccard_components, need, shingles
+from tarnlink.llm.ngram_join import Searcher, _across, jaccard_components, need, shingles
 from tarnlink.llm.suffix_dedup import RunIndex, kept_digest, remove_repeats
 
 WORDS = ["ab", "the", "thé", "x", "Quux", "na", "ion", "ß", "漢字", "z9"]
@@ -157,6 +157,49 @@ def test_searcher_is_exact():
     assert need(10, 10) == 9 and len(shingles("a b c d e f")) == 2 and len(shingles("A  b")) == 1
 
 
+@pytest.mark.parametrize("sides", [False, True])
+def test_sets_of_one_component_are_not_searched_among_their_own(monkeypatch, sides):
+    r = random.Random(3)
+    base = r.sample(range(2000), 60)
+    sets = []
+    for i in range(120):
+        own = set(base)
+        for _ in range(r.randrange(1, 12)):
+            own.discard(r.choice(base))
+            own.add(r.randrange(2000))
+        sets.append((i, sorted(own), 0 if i < 100 else i, i % 2))
+    links = {(i, j) for i, x, a, s in sets for j, y, b, t in sets if a != b and not (sides and s == t) and 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y})}
+    searched, search = [], Searcher.search
+
+    def counted(self, members, wanted=lambda x: True):
+        searched.append(len(self.sizes))
+        return search(self, members, wanted)
+
+    def joined(pairs):
+        at = list(range(120))
+        for _ in at:
+            for i, j in pairs:
+                a, b = (0 if x < 100 else x for x in (i, j))
+                at[a] = at[b] = min(at[a], at[b])
+        return at
+
+    monkeypatch.setattr(Searcher, "search", counted)
+    found = _across(sets, 80, sides)
+    assert links.issuperset(found) and joined(found) == joined(links) != list(range(120))
+    assert sum(x > 0 for x in searched) == 20 and max(searched) <= (60 if sides else 119)
+
+
+def test_probes_of_few_and_of_many_are_the_same():
+    r = random.Random(4)
+    for _ in range(200):
+        long = [sorted(r.sample(range(400), r.randrange(1, 400))) for _ in range(r.choice([0, 5, 40, 200]))]
+        some = [(x, r.randrange(1, 4)) for x in sorted(r.sample(range(420), r.randrange(1, 60)))]
+        t = r.randrange(1, 4 + len(long))
+        want = [(x, m) for x, c in some if (m := c + sum(x in own for own in long)) >= t]
+        assert Searcher.probe(some, long, t) == want
+        assert [y for x in some for y in Searcher.probe([x], long, t)] == want
+
+
 def brute_exact(rows):
     groups = {}
     for i, t in rows:
